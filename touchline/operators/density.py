@@ -24,6 +24,22 @@ def kernel_sd(values: Column, weights: Column) -> Column:
     return F.when(width > 0, width)
 
 
+def _smoothed(df: DataFrame, by: list[str], weight: str, at: str, sd: str, grid: list[float], index: str) -> DataFrame:
+    """Sum ``weight`` x Gaussian kernel at every grid value, per ``by``.
+
+    One aggregate per grid value, so no row is multiplied before the exchange
+    and a group crosses it as one row per task; the values become rows after.
+    """
+
+    sums = (
+        F.expr(f"sum({weight} * exp(-0.5D * (({value!r}D - {at}) / {sd}) * (({value!r}D - {at}) / {sd}))) AS g{i}")
+        for i, value in enumerate(grid)
+    )
+    wide = df.groupBy(*by).agg(*sums)
+    values = F.expr("array(" + ", ".join(f"g{i}" for i in range(len(grid))) + ")")
+    return wide.select(*by, F.posexplode(values).alias(index, "s"))
+
+
 def kernel_density(
     points: DataFrame,
     by: list[str],
@@ -38,12 +54,14 @@ def kernel_density(
     Equal points are counted first, so the later cost follows the number of
     distinct coordinates (at most the pitch at the feed's resolution) and not
     the number of points. The Gaussian kernel is separable: the first sum runs
-    along x, the second along y, which takes distinct * cells rows instead of
+    along x, the second along y, which takes distinct * cells steps instead of
     distinct * cells^2. A group without spread along an axis falls back to a
     kernel one grid step wide.
     """
     step_x = (xlim[1] - xlim[0]) / (cells - 1)
     step_y = (ylim[1] - ylim[0]) / (cells - 1)
+    grid_x = [xlim[0] + i * step_x for i in range(cells)]
+    grid_y = [ylim[0] + i * step_y for i in range(cells)]
     bins = (
         points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*by, F.col(x).alias("px"), F.col(y).alias("py"))
@@ -54,28 +72,21 @@ def kernel_density(
         F.coalesce(kernel_sd(F.col("px"), F.col("w")), F.lit(step_x)).alias("hx"),
         F.coalesce(kernel_sd(F.col("py"), F.col("w")), F.lit(step_y)).alias("hy"),
     )
-    axis = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-    grid_x = F.lit(xlim[0]) + F.col("ix") * step_x
-    grid_y = F.lit(ylim[0]) + F.col("iy") * step_y
-    weight_x = F.exp(-0.5 * F.pow((grid_x - F.col("px")) / F.col("hx"), 2))
-    weight_y = F.exp(-0.5 * F.pow((grid_y - F.col("py")) / F.col("hy"), 2))
-    # The widths ride along in the second grouping: they depend on the group only.
-    along_x = (
-        bins.join(widths, by)
-        .withColumn("ix", axis)
-        .groupBy(*by, "n", "hx", "hy", "py", "ix")
-        .agg(F.sum(F.col("w") * weight_x).alias("s"))
-    )
-    return (
-        along_x.withColumn("iy", axis)
-        .groupBy(*by, "n", "hx", "hy", "ix", "iy")
-        .agg(F.sum(F.col("s") * weight_y).alias("s"))
-        .select(
-            *by,
-            grid_x.alias("grid_x"),
-            grid_y.alias("grid_y"),
-            (F.col("s") / (2 * math.pi * F.col("n") * F.col("hx") * F.col("hy"))).alias("densidad"),
-        )
+    # The widths ride along in the groupings: they depend on the group only. The
+    # kernel sums are heavy per byte, so rows are spread by (group, y) over a fixed
+    # number of tasks: by the group alone a team would stay in one task, and AQE
+    # would merge partitions that are small only in bytes.
+    group = [*by, "n", "hx", "hy"]
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = bins.join(widths, by).repartition(tasks, *by, "py")
+    along_x = _smoothed(spread, [*group, "py"], "w", "px", "hx", grid_x, "ix")
+    along_y = _smoothed(along_x, [*group, "ix"], "s", "py", "hy", grid_y, "iy")
+    volume = 2 * math.pi * F.col("n") * F.col("hx") * F.col("hy")
+    return along_y.select(
+        *by,
+        (xlim[0] + F.col("ix") * step_x).alias("grid_x"),
+        (ylim[0] + F.col("iy") * step_y).alias("grid_y"),
+        (F.col("s") / volume).alias("densidad"),
     )
 
 
@@ -95,9 +106,11 @@ def pretty_step(low: Column, high: Column, steps: int = 10) -> Column:
 
 def contour_levels(grid: DataFrame, panel: list[str], value: str = "densidad") -> DataFrame:
     """Attach the contour level (highest round break at or below the density);
-    breaks span the density range of the whole panel."""
-    spans = grid.groupBy(*panel).agg(
-        pretty_step(F.min(value), F.max(value)).alias("paso")
-    )
+    breaks span the density range of the whole panel (no columns: one panel)."""
+    step = pretty_step(F.min(value), F.max(value))
+    if panel:
+        stepped = grid.join(grid.groupBy(*panel).agg(step.alias("paso")), panel)
+    else:
+        stepped = grid.withColumn("paso", grid.agg(step).scalar())
     level = F.floor(F.col(value) / F.col("paso")) * F.col("paso")
-    return grid.join(spans, panel).withColumn("nivel", level).drop("paso")
+    return stepped.withColumn("nivel", level).drop("paso")

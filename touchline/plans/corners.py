@@ -45,11 +45,15 @@ def shots_with_freeze_frame(t: EventTables) -> DataFrame:
     return shots(t).where(present)
 
 
+def linked_shots(t: EventTables) -> DataFrame:
+    """Shots with a frame and a key pass of any kind."""
+    return shots_with_freeze_frame(t).where(F.col("key_pass_id").isNotNull())
+
+
 def corner_assisted_shots(t: EventTables) -> DataFrame:
     """Shots with a frame whose key pass is a corner."""
     ids = corner_events(t).select(F.col("id").alias("key_pass_id"))
-    linked = shots_with_freeze_frame(t).where(F.col("key_pass_id").isNotNull())
-    return linked.join(ids, "key_pass_id", "left_semi")
+    return linked_shots(t).join(ids, "key_pass_id", "left_semi")
 
 
 def _box_flag_counts(flag: Column) -> list[Column]:
@@ -89,22 +93,15 @@ def count_box_attackers(corner_shots: DataFrame, t: EventTables) -> DataFrame:
     )
 
 
-def counted_corner_shots(t: EventTables, *columns: str) -> DataFrame:
-    """Corner-assisted shots with PLAYERS and ATTACKERS, narrowed to ``columns``."""
+def _counted(shots_: DataFrame, t: EventTables, *columns: str) -> DataFrame:
+    """Narrow to ``columns`` and attach PLAYERS and ATTACKERS."""
     frame = ["freeze_frame"] if t.frames is None else []
     wanted = dict.fromkeys(["id", "key_pass_id", "shot_outcome", *columns, *frame])
-    return count_box_attackers(corner_assisted_shots(t).select(*wanted), t).drop(*frame)
-
-
-def box_occupancy(t: EventTables, *columns: str) -> DataFrame:
-    """Box attackers and goal flag per corner shot with at least one player."""
-    seen = counted_corner_shots(t, *columns).where(F.col(PLAYERS) > 0)
-    return seen.select("id", ATTACKERS, is_goal().alias("fue_gol"), *columns)
+    return count_box_attackers(shots_.select(*wanted), t).drop(*frame)
 
 
-def occupancy_category(t: EventTables, *columns: str) -> DataFrame:
-    """``box_occupancy`` with the occupancy level (label and ordinal)."""
-    return box_occupancy(t, *columns).withColumns(
+def _with_level(df: DataFrame) -> DataFrame:
+    return df.withColumns(
         {
             "categoria_atacantes": occupancy_label(F.col(ATTACKERS)),
             "categoria_orden": occupancy_order(F.col(ATTACKERS)),
@@ -112,24 +109,36 @@ def occupancy_category(t: EventTables, *columns: str) -> DataFrame:
     )
 
 
+def box_occupancy(t: EventTables) -> DataFrame:
+    """Box attackers and goal flag per corner shot with at least one player."""
+    seen = _counted(corner_assisted_shots(t), t).where(F.col(PLAYERS) > 0)
+    return seen.select("id", ATTACKERS, is_goal().alias("fue_gol"))
+
+
+def occupancy_category(t: EventTables) -> DataFrame:
+    """``box_occupancy`` with the occupancy level (label and ordinal)."""
+    return _with_level(box_occupancy(t))
+
+
 def shots_with_category(t: EventTables, *columns: str) -> DataFrame:
     """Every corner shot with its occupancy attributes; a shot without players
     stays, with NULL attributes."""
-    seen = F.col(PLAYERS) > 0
-    return counted_corner_shots(t, *columns).select(
+    counted = _with_level(_counted(corner_assisted_shots(t), t, *columns))
+    return counted.select(
         "id",
         "key_pass_id",
         ATTACKERS,
-        F.when(seen, is_goal()).alias("fue_gol"),
-        occupancy_label(F.col(ATTACKERS)).alias("categoria_atacantes"),
-        occupancy_order(F.col(ATTACKERS)).alias("categoria_orden"),
+        F.when(F.col(PLAYERS) > 0, is_goal()).alias("fue_gol"),
+        "categoria_atacantes",
+        "categoria_orden",
         *columns,
     )
 
 
-def shot_to_corner(corner_shots: DataFrame, t: EventTables) -> DataFrame:
+def shot_to_corner(shots_: DataFrame, t: EventTables, how: str = "left") -> DataFrame:
     """Attach taker, start and end of the corner named by ``key_pass_id``; one
-    join serves all of them."""
+    join serves all of them. ``how="inner"`` also keeps only the shots whose key
+    pass is a corner."""
     corner = corner_events(t).select(
         F.col("id").alias("key_pass_id"),
         F.col("player_name").alias("ejecutor"),
@@ -138,13 +147,15 @@ def shot_to_corner(corner_shots: DataFrame, t: EventTables) -> DataFrame:
         coordinate(F.col("pass_end_location"), 0).alias("end_x"),
         coordinate(F.col("pass_end_location"), 1).alias("end_y"),
     )
-    return corner_shots.join(corner, "key_pass_id", "left")
+    return shots_.join(corner, "key_pass_id", how)
 
 
 def enriched_shots(t: EventTables) -> DataFrame:
     """Corner shots of known occupancy with match, taker, coordinates and xG."""
     columns = ["match_id", "team_name", "player_name", "minute", "second", "xg", "xgot"]
-    categorised = occupancy_category(t, "key_pass_id", *columns)
+    corner_columns = ["ejecutor", "start_x", "start_y", "end_x", "end_y"]
+    corner_shots = shot_to_corner(linked_shots(t), t, "inner")
+    counted = _counted(corner_shots, t, *columns, *corner_columns)
     match = t.matches.select(
         "match_id",
         F.col("match_date").alias("fecha"),
@@ -152,8 +163,8 @@ def enriched_shots(t: EventTables) -> DataFrame:
         F.col("away_team_name").alias("equipo_visitante"),
         F.col("season_name").alias("temporada"),
     )
-    known = categorised.where(F.col("categoria_atacantes").isNotNull())
-    return shot_to_corner(known, t).join(match, "match_id", "left").select(
+    known = _with_level(counted).where(F.col(ATTACKERS).isNotNull())
+    return known.join(match, "match_id", "left").select(
         "id",
         "match_id",
         "key_pass_id",
@@ -174,7 +185,7 @@ def enriched_shots(t: EventTables) -> DataFrame:
         "start_y",
         "end_x",
         "end_y",
-        "fue_gol",
+        is_goal().alias("fue_gol"),
     )
 
 
@@ -185,62 +196,68 @@ def corner_base(t: EventTables, *columns: str) -> DataFrame:
     )
 
 
-def _shot_results(t: EventTables, *columns: str) -> DataFrame:
-    """(corner id, goal) per linked shot. A shot without players never counts as
-    a goal: its occupancy row, which carries the goal flag, does not exist."""
-    goal = (F.col(PLAYERS) > 0) & F.coalesce(is_goal(), F.lit(False))
-    return counted_corner_shots(t, *columns).select(
-        F.col("key_pass_id").alias("id"), goal.alias("fue_gol"), *columns
-    )
-
-
-def corner_outcomes(t: EventTables) -> DataFrame:
-    """One row per corner and shot it led to, one row for a corner without any.
-
-    A left join cannot split a corner that has very many shots, so the rows
-    with and without a shot are built apart: the inner join streams the shots,
-    and the anti join needs each corner id once.
-    """
-    base = corner_base(t)
-    results = _shot_results(t)
-    led_to_shot = base.join(results, "id", "inner").withColumn("termino_en_remate", F.lit(True))
-    without = base.join(results.select("id").distinct(), "id", "left_anti").withColumns(
-        {"fue_gol": F.lit(False), "termino_en_remate": F.lit(False)}
-    )
-    return led_to_shot.unionByName(without)
-
-
-# Per-corner totals that stand for the rows of ``corner_outcomes``.
+# Per-corner number of rows in ``corner_outcomes``.
 ROWS = "filas"
 
 
 def corner_totals(t: EventTables, *columns: str) -> DataFrame:
-    """One row per corner: ``filas`` outcome rows, ``remates`` shots, ``goles``
-    goals and ``xg_vinculado`` (xG of its shots).
-
-    Summing these gives the same totals as aggregating ``corner_outcomes``, but
-    the shots are reduced to one row per corner before the join and no corner
-    is repeated.
+    """One row per corner: ``filas`` outcome rows (one per shot it led to, at
+    least one), ``remates`` shots, ``goles`` goals and ``xg_vinculado``, the xG
+    of its shots.
+
+    Summing these gives the totals of ``corner_outcomes``, with the shots
+    reduced to one row per key pass before the join and no corner repeated. The
+    join itself drops key passes that are no corner. A shot without players
+    never counts as a goal: its occupancy row, which carries the goal flag,
+    does not exist.
     """
-    per_corner = (
-        _shot_results(t, "xg")
-        .groupBy("id")
+    goal = (F.col(PLAYERS) > 0) & is_goal()
+    per_key_pass = (
+        _counted(linked_shots(t), t, "xg")
+        .groupBy(F.col("key_pass_id").alias("id"))
         .agg(
             F.count("*").alias("remates"),
-            count_true(F.col("fue_gol")).alias("goles"),
+            count_true(goal).alias("goles"),
             F.sum("xg").alias("xg_vinculado"),
         )
     )
-    joined = corner_base(t, *columns).join(per_corner, "id", "left")
-    return joined.withColumns(
+    shots_of_corner = F.coalesce("remates", F.lit(0))
+    return corner_base(t, *columns).join(per_key_pass, "id", "left").withColumns(
         {
-            "remates": F.coalesce("remates", F.lit(0)),
+            "remates": shots_of_corner,
             "goles": F.coalesce("goles", F.lit(0)),
-            ROWS: F.greatest(F.coalesce("remates", F.lit(0)), F.lit(1)),
+            ROWS: F.greatest(shots_of_corner, F.lit(1)),
         }
     )
 
 
+FAN_OUT = 1000
+
+
+def corner_outcomes(t: EventTables) -> DataFrame:
+    """One row per corner and shot it led to, one row for a corner without any.
+
+    The rows of a corner differ in the goal flag only, so they are written out
+    from the counts of ``corner_totals``. That happens in runs of at most
+    FAN_OUT rows, spread by (corner, run): a corner with very many shots is
+    neither joined row by row nor written by one task.
+    """
+    totals = corner_totals(t).withColumn("termino_en_remate", F.col("remates") > 0)
+    parts = F.array(
+        F.struct(F.lit(True).alias("fue_gol"), F.col("goles").alias("n")),
+        F.struct(F.lit(False).alias("fue_gol"), (F.col(ROWS) - F.col("goles")).alias("n")),
+    )
+    base = ["id", "match_id", "team_name", "tipo_cobro", "obv_total_net"]
+    by_flag = totals.select(*base, "termino_en_remate", F.inline(parts)).where("n > 0")
+    runs = by_flag.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / FAN_OUT))))
+    run_length = F.least(F.col("n") - F.col("run") * FAN_OUT, F.lit(FAN_OUT))
+    return (
+        runs.repartition("id", "run")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), run_length)))
+        .select(*base, "fue_gol", "termino_en_remate")
+    )
+
+
 def outcome_sums() -> dict[str, Column]:
     """Additive sums over ``corner_totals``."""
     known_obv = F.col("obv_total_net").isNotNull()

@@ -47,8 +47,7 @@ def delivery_heatmap(
         by, panel = ["temporada", "team_name"], ["temporada"]
         points = with_logo(points, t.logos).drop("logo_url")
         return contour_levels(kernel_density(points, by, cells=cells), panel)
-    grid = kernel_density(points, ["team_name"], cells=cells).withColumn("panel", F.lit(1))
-    return contour_levels(grid, ["panel"]).drop("panel")
+    return contour_levels(kernel_density(points, ["team_name"], cells=cells), [])
 
 
 def zone_assignment(t: EventTables) -> DataFrame:

@@ -6,6 +6,8 @@ Parquet files of any size.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +17,17 @@ from touchline.sources.tables import EventTables
 TEAM_NAMES = {f"NATION_{n}": f"Club NATION_{n}" for n in (1, 5, 12)}
 
 
+# The columns read here; an explicit schema needs no look at the files.
+SCHEMAS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "orders": "o_orderkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_returnflag string",
+    "nation": "n_nationkey int, n_name string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,21 +72,68 @@ def match_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event columns that depend on the row alone, plus the team name."""
-    raw = _read(spark, sf_dir, "events")
-    nation = _read(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name")
+def _k():
+    return F.get_json_object("props", "$.k").cast("int")
+
+
+def _play_pattern():
+    k = _k()
+    return (
+        F.when(k % 6 == 0, "From Corner")
+        .when(k % 6 == 1, "From Free Kick")
+        .when(k % 6 == 2, "From Throw-in")
+        .when(k % 6 >= 4, "Regular Play")
     )
-    event_id, user_id, value = F.col("event_id"), F.col("user_id"), F.col("value")
-    k = F.get_json_object("props", "$.k").cast("int")
-    day = F.dayofmonth("ts")
-    corner = F.col("event_type") == "click"
-    shot = F.col("event_type") == "purchase"
 
-    def on(kind, column):
-        return F.when(kind, column)
 
+def _corner_columns() -> dict:
+    event_id, k = F.col("event_id"), _k()
+    end = F.array((90 + event_id * 7 % 31).cast("double"), (event_id * 11 % 81).cast("double"))
+    return {
+        "type_name": F.lit("Pass"),
+        "pass_type": F.lit(CORNER),
+        "pass_length": F.when(k % 13 != 0, k.cast("double")),
+        "inswinging": F.when(k % 3 == 0, True),
+        "outswinging": F.when(k % 3 == 1, True),
+        "pass_end_location": F.when(event_id % 29 != 0, end),
+        "location": F.array(F.lit(120.0), (event_id % 2 * 80).cast("double")),
+        "obv_total_net": F.when(event_id % 11 != 0, (F.col("value") - 50) / 1000),
+    }
+
+
+def _shot_columns() -> dict:
+    value, k = F.col("value"), _k()
+    return {
+        "type_name": F.lit(SHOT),
+        "xg": F.when(F.col("event_id") % 13 != 0, value / 500),
+        "xgot": F.when(value > 30, value / 400),
+        "shot_outcome": F.when(value > 60, GOAL).when(k % 10 != 0, "Saved"),
+        "shot_type": F.when(k % 7 == 0, "Corner").otherwise("Open Play"),
+    }
+
+
+# Columns that only some kinds of event have.
+_KIND_COLUMNS = {
+    "type_name": "string",
+    "pass_type": "string",
+    "pass_length": "double",
+    "inswinging": "boolean",
+    "outswinging": "boolean",
+    "pass_end_location": "array<double>",
+    "location": "array<double>",
+    "obv_total_net": "double",
+    "xg": "double",
+    "xgot": "double",
+    "shot_outcome": "string",
+    "shot_type": "string",
+}
+
+
+def _events_of(raw: DataFrame, kind: dict) -> DataFrame:
+    """Events of one kind. What the kind lacks is a NULL literal, so a filter on
+    the kind removes the other kinds' scans from the plan."""
+    event_id, user_id, day = F.col("event_id"), F.col("user_id"), F.dayofmonth("ts")
+    player = F.concat(F.lit("P"), (event_id % 37).cast("string"))
     return raw.select(
         event_id.alias("id"),
         user_id.alias("match_id"),
@@ -84,31 +142,11 @@ def _typed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((user_id * 3 + (day % 2) * 7) % 25).cast("int").alias("team_id"),
         (event_id % 90).cast("int").alias("minute"),
         (event_id % 60).cast("int").alias("second"),
-        F.when(event_id % 37 != 0, F.concat(F.lit("P"), (event_id % 37).cast("string"))).alias("player_name"),
-        F.when(corner, "Pass").when(shot, SHOT).otherwise("Other").alias("type_name"),
-        F.when(corner, CORNER).alias("pass_type"),
-        F.when(k % 6 == 0, "From Corner")
-        .when(k % 6 == 1, "From Free Kick")
-        .when(k % 6 == 2, "From Throw-in")
-        .when(k % 6 >= 4, "Regular Play")
-        .alias("play_pattern"),
-        on(corner & (k % 13 != 0), k.cast("double")).alias("pass_length"),
-        on(corner & (k % 3 == 0), F.lit(True)).alias("inswinging"),
-        on(corner & (k % 3 == 1), F.lit(True)).alias("outswinging"),
-        on(
-            corner & (event_id % 29 != 0),
-            F.array((90 + event_id * 7 % 31).cast("double"), (event_id * 11 % 81).cast("double")),
-        ).alias("pass_end_location"),
-        on(corner, F.array(F.lit(120.0), (event_id % 2 * 80).cast("double"))).alias("location"),
-        on(corner & (event_id % 11 != 0), (value - 50) / 1000).alias("obv_total_net"),
-        on(shot & (event_id % 13 != 0), value / 500).alias("xg"),
-        on(shot & (value > 30), value / 400).alias("xgot"),
-        F.when(shot & (value > 60), GOAL)
-        .when(shot & (k % 10 != 0), "Saved")
-        .alias("shot_outcome"),
-        F.when(shot & (k % 7 == 0), "Corner").when(shot, "Open Play").alias("shot_type"),
+        F.when(event_id % 37 != 0, player).alias("player_name"),
+        _play_pattern().alias("play_pattern"),
         (event_id % 17 != 0).alias("has_frame"),
-    ).join(nation, "team_id", "left")
+        *(kind.get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in _KIND_COLUMNS.items()),
+    )
 
 
 def _key_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,13 +184,19 @@ def _key_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str, links: bool = True) -> DataFrame:
     """The events view; ``links=False`` leaves ``key_pass_id`` empty for queries
     that do not follow shots to their corners."""
-    typed = _typed_events(spark, sf_dir)
-    if not links:
-        return typed.withColumn("key_pass_id", F.lit(None).cast("long"))
-    is_shot = F.col("type_name") == SHOT
-    shots = typed.where(is_shot).join(_key_passes(spark, sf_dir), "id", "left")
-    others = typed.where(~is_shot).withColumn("key_pass_id", F.lit(None).cast("long"))
-    return shots.unionByName(others)
+    raw = _read(spark, sf_dir, "events")
+    nation = _read(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name")
+    )
+    kind = F.col("event_type")
+    unlinked = F.lit(None).cast("long").alias("key_pass_id")
+    corners = _events_of(raw.where(kind == "click"), _corner_columns()).select("*", unlinked)
+    others = _events_of(
+        raw.where(kind.isNull() | ~kind.isin("click", "purchase")), {"type_name": F.lit("Other")}
+    ).select("*", unlinked)
+    shots = _events_of(raw.where(kind == "purchase"), _shot_columns())
+    shots = shots.join(_key_passes(spark, sf_dir), "id", "left") if links else shots.select("*", unlinked)
+    return corners.unionByName(shots).unionByName(others).join(nation, "team_id", "left")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,5 +231,7 @@ def raw_tables(spark: SparkSession, sf_dir: str, links: bool = True) -> EventTab
     )
 
 
+@lru_cache(maxsize=16)
 def open_tables(spark: SparkSession, sf_dir: str, links: bool = True) -> EventTables:
+    """The bound tables; the lazy plans (no data) are kept per session and folder."""
     return raw_tables(spark, sf_dir, links).harmonized(TEAM_NAMES)
