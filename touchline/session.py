@@ -13,9 +13,6 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # AQE rewrites a sort-merge join whose build side turns out small.
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
-    "spark.sql.autoBroadcastJoinThreshold": "32MB",
     # Split skewed partitions even when that costs one more shuffle later on.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
@@ -26,6 +23,8 @@ RECOMMENDED_CONF = {
 def build_session(app_name: str = "touchline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the plans were tuned for.
 
+    Broadcast thresholds stay at Spark's own defaults: AQE measures a build side
+    in compressed shuffle bytes, several times less than its hash table needs.
     Partition counts are left to AQE; on a cluster raise
     ``spark.sql.shuffle.partitions`` (for example to 2-3x the cores) and AQE
     coalesces what turns out to be too fine.
