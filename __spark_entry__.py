@@ -17,7 +17,7 @@ from touchline.functions.corner import coordinate
 from touchline.functions.labels import percent_label, percent_text, safe_name
 from touchline.operators.relational import any_of, cast_flags, for_season
 from touchline.plans import checks, corners, delivery, dependence, occupancy, ratios, spatial
-from touchline.plans.marts import read_marts, write_marts
+from touchline.plans.marts import write_marts
 from touchline.session import work_folder
 from touchline.sources import driver_tables
 from touchline.sources.ingest import pending_matches
@@ -106,14 +106,6 @@ def _with_logo(t: EventTables) -> DataFrame:
     )
 
 
-def _team_xg(t: EventTables) -> DataFrame:
-    """Both readings of a team's xG, side by side."""
-    by = ["temporada", "team_name"]
-    linked = delivery.team_season_metrics(t, "linked").select(*by, F.col("xG").alias("xG_linked"))
-    written = delivery.team_season_metrics(t, "as_written").select(*by, F.col("xG").alias("xG_as_written"))
-    return linked.join(written, by)
-
-
 def _rate_labels(t: EventTables) -> DataFrame:
     rate = F.col("Tasa_Remate")
     return delivery.team_season_metrics(t).select(
@@ -160,9 +152,10 @@ def _stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _materialize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corner outcomes read back from the prepared tables."""
     folder = work_folder(spark, "marts")
     write_marts(driver_tables.open_tables(spark, sf_dir), folder)
-    return read_marts(spark, folder)["corner_outcomes"]
+    return spark.read.parquet(f"{folder}/corner_outcomes")
 
 
 def _project_any_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +223,7 @@ def queries() -> dict[str, Query]:
             lambda t: delivery.tactical_profile(t, rescale_before_logos=True)
         ),
         "team_season_metrics": _linked(delivery.team_season_metrics),
-        "team_xg_from_corners": _linked(_team_xg),
+        "team_xg_from_corners": _linked(delivery.team_xg_from_corners),
         "delivery_mix": _linked(delivery.delivery_mix),
         "percentile_profile": _linked(delivery.percentile_profile),
         "team_radars": _linked(delivery.team_radars),

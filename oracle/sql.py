@@ -282,7 +282,8 @@ def _profile(min_corners: int, rescale_first: bool) -> tuple[str, str]:
 _TACTICAL = _profile(5, False)
 _TACTICAL_BATCH = _profile(5, True)
 
-_RATIO = """SELECT team_name, total_corners, {goals}, total_corners / {goals} AS corners_por_gol, logo_url
+_RATIO = """SELECT team_name, total_corners, {goals}, total_corners / {goals} AS corners_por_gol,
+  printf('%.2f', total_corners / {goals}) AS etiqueta, logo_url
   FROM ({totals}) LEFT JOIN logos USING (team_name) WHERE {goals} > 0"""
 _RATIO_T = _RATIO.replace("SELECT team_name", "SELECT temporada, team_name")
 
@@ -576,7 +577,8 @@ STATEMENTS |= {
     "corners_per_sequence_goal_agg": _statement(
         """SELECT logo_url, team_name, CAST(sum(total_corners) AS BIGINT) AS total_corners,
           CAST(sum(total_goles_secuencia) AS BIGINT) AS total_goles_secuencia,
-          sum(total_corners) / sum(total_goles_secuencia) AS corners_por_gol
+          sum(total_corners) / sum(total_goles_secuencia) AS corners_por_gol,
+          printf('%.2f', sum(total_corners) / sum(total_goles_secuencia)) AS etiqueta
         FROM por_temporada LEFT JOIN logos USING (team_name) GROUP BY logo_url, team_name""",
         _SEQUENCE_SEASONS,
     ),

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline import schema as S
-from touchline.plans import corners, delivery, dashboard, dependence, occupancy, spatial
+from tools.compare import difference
+from touchline.plans import corners, dashboard, delivery, dependence, marts, occupancy, spatial
 from touchline.sources import driver_tables
 
 
@@ -46,8 +47,8 @@ def test_minutes_are_ninety_per_match_and_team(t):
 def test_density_integrates_to_at_most_one(t):
     grid = spatial.delivery_heatmap(t, cells=41)
     area = (120 / 40) * (80 / 40)
-    mass = [r[0] for r in grid.groupBy("team_name").agg(F.sum("densidad") * area).select(F.col("(sum(densidad) * %s)" % area)).collect()]
-    assert all(0.2 < m < 1.05 for m in mass)
+    mass = grid.groupBy("team_name").agg((F.sum("densidad") * area).alias("m")).collect()
+    assert all(0.2 < r.m < 1.05 for r in mass)
 
 
 def test_nested_and_separate_frames_agree(spark, t):
@@ -64,12 +65,24 @@ def test_nested_and_separate_frames_agree(spark, t):
         assert plan(other).exceptAll(plan(t)).count() == 0
 
 
+def test_prepared_tables_answer_like_raw_events(spark, t, tmp_path_factory):
+    """Every dashboard section gives the same rows from the written tables."""
+    prepared = marts.write_marts(t, str(tmp_path_factory.mktemp("marts")))
+    for name in dashboard.SECTIONS:
+        team = "Club NATION_5" if name in dashboard.TEAM_CHOICES else None
+        raw = dashboard.section(t, name, "2022/2023", team).toPandas()
+        from_files = dashboard.section(prepared, name, "2022/2023", team).toPandas()
+        assert difference(from_files, raw) is None, name
+    choices = [[r[0] for r in dashboard.TEAM_CHOICES["s11"](x).collect()] for x in (t, prepared)]
+    assert choices[0] == choices[1]
+
+
 @pytest.mark.parametrize("name", [n for n in dashboard.SECTIONS if n not in ("s10",)])
 def test_dashboard_sections_answer(t, name):
     team = "Club NATION_5" if name in dashboard.TEAM_CHOICES else None
     assert dashboard.section(t, name, "2022/2023", team).count() > 0
 
 
-def test_dashboard_needs_a_team_where_it_has_a_selector(t):
-    with pytest.raises(ValueError):
-        dashboard.section(t, "s11")
+def test_dashboard_starts_with_the_first_team(t):
+    teams = {r.team_name for r in dashboard.section(t, "s11").collect()} - {None}
+    assert teams == {"Club NATION_1"}

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from tests.football import MATCH_DDL, match, rows
 from touchline import schema as S
-from touchline.functions.labels import number_text, percent_label, percent_text, safe_name, two_digits
+from touchline.functions.labels import (
+    number_text,
+    percent_label,
+    percent_text,
+    safe_name,
+    two_decimals,
+    two_digits,
+)
 from touchline.functions.nulls import mean_of, strict_sum, sum_or_zero
 from touchline.operators.density import contour_levels, kernel_density
 from touchline.operators.relational import across, any_of, cast_flags, null_safe_left, selector_domain
@@ -45,6 +52,11 @@ def test_percent_labels(spark):
     assert one(spark, percent_text(F.lit(None).cast("double"))) == "NA%"
 
 
+def test_two_decimals(spark):
+    assert one(spark, two_decimals(F.lit(1234.5))) == "1,234.50"
+    assert one(spark, two_decimals(F.lit(10.125))) == "10.12"
+
+
 def test_padded_and_safe_text(spark):
     assert one(spark, two_digits(F.lit(5))) == "05"
     assert one(spark, two_digits(F.lit(None).cast("int"))) == "NA"
@@ -195,16 +207,23 @@ def test_ingest_is_incremental_and_idempotent(spark, tmp_path):
     feed, matches = feed_and_matches(spark)
     folder = str(tmp_path / "landing")
     landing.ingest(spark, feed, matches, folder)
-    assert rows(landing.scan_landing(spark, folder), "id", "season_name") == [
+    assert rows(landing.scan_landing(spark, folder, feed.schema), "id", "season_name") == [
         ("e0", "2022/2023"), ("e1", "2022/2023"), ("e2", "2023/2024"),
     ]
     landing.ingest(spark, feed, matches, folder)
-    assert landing.scan_landing(spark, folder).count() == 3
+    assert landing.scan_landing(spark, folder, feed.schema).count() == 3
     pending = landing.pending_matches(matches, landing.read_manifest(spark, folder))
     assert rows(pending, "match_id") == [(6,)]
     now_there = matches.replace({"processing": "available"}, subset=["match_status_360"])
     landing.ingest(spark, feed, now_there, folder)
-    assert rows(landing.scan_landing(spark, folder), "match_id") == [(1,), (1,), (2,), (3,)]
+    assert rows(landing.scan_landing(spark, folder, feed.schema), "match_id") == [(1,), (1,), (2,), (3,)]
+
+
+def test_ingest_with_nothing_pending(spark, tmp_path):
+    feed, matches = feed_and_matches(spark)
+    folder = str(tmp_path / "landing")
+    landing.ingest(spark, feed, matches.where("match_id = 3"), folder)
+    assert landing.scan_landing(spark, folder, feed.schema).count() == 0
 
 
 def test_events_of_an_unfinished_run_stay_invisible(spark, tmp_path):
@@ -213,7 +232,7 @@ def test_events_of_an_unfinished_run_stay_invisible(spark, tmp_path):
     half = feed.where("match_id = 2").withColumn("season_name", F.lit("2023/2024"))
     write_by_season(half, f"{folder}/events/run=lost", ["match_id", "id"])
     landing.ingest(spark, feed, matches, folder)
-    assert rows(landing.scan_landing(spark, folder), "id") == [("e0",), ("e1",), ("e2",)]
+    assert rows(landing.scan_landing(spark, folder, feed.schema), "id") == [("e0",), ("e1",), ("e2",)]
 
 
 def test_streaming_landing_processes_each_file_once(spark, tmp_path):

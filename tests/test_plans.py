@@ -66,7 +66,7 @@ def test_nested_scan_prunes_to_location_and_teammate(feed):
 
 
 def test_zone_assignment_is_part_of_the_scan_stage(feed):
-    assert "Join" not in plan_of(spatial.assign_zones(spatial._end_points(feed)))
+    assert "Join" not in plan_of(spatial.assign_zones(spatial.corner_end_points(feed)))
 
 
 def test_sequence_goals_shrink_before_the_join(feed):

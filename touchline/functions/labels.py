@@ -40,6 +40,11 @@ def percent_text(value: Column) -> Column:
     return paste(number_text(value * 100, 1), "%")
 
 
+def two_decimals(value: Column) -> Column:
+    """Number with exactly two decimals and thousands separators."""
+    return F.format_number(value, 2)
+
+
 def two_digits(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("NA")).otherwise(F.format_string("%02d", value.cast("int")))
 

@@ -11,6 +11,7 @@ from touchline.functions.nulls import member_of
 from touchline.operators.relational import for_season, selector_domain
 from touchline.plans.corners import ROWS, corner_totals, shots, with_season
 from touchline.plans.delivery import percentile_profile
+from touchline.plans.stored import stored
 from touchline.sources.tables import EventTables
 
 
@@ -36,8 +37,13 @@ def corner_goals_check(t: EventTables, season: str, team_pattern: str) -> DataFr
     )
 
 
+@stored()
+def team_names(t: EventTables) -> DataFrame:
+    return t.events.select("team_name").distinct()
+
+
 def event_teams(t: EventTables) -> DataFrame:
-    return selector_domain(t.events, "team_name")
+    return selector_domain(team_names(t), "team_name")
 
 
 def radar_teams(t: EventTables) -> DataFrame:

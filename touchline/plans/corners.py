@@ -15,6 +15,7 @@ from touchline.functions.corner import (
     occupancy_order,
 )
 from touchline.functions.nulls import count_true
+from touchline.plans.stored import stored
 from touchline.sources.tables import EventTables
 
 # Working columns of a shot: players seen, and attackers in the box (NULL when unknown).
@@ -109,6 +110,7 @@ def _with_level(df: DataFrame) -> DataFrame:
     )
 
 
+@stored()
 def box_occupancy(t: EventTables) -> DataFrame:
     """Box attackers and goal flag per corner shot with at least one player."""
     seen = _counted(corner_assisted_shots(t), t).where(F.col(PLAYERS) > 0)
@@ -120,6 +122,7 @@ def occupancy_category(t: EventTables) -> DataFrame:
     return _with_level(box_occupancy(t))
 
 
+@stored("match_id", "xg")
 def shots_with_category(t: EventTables, *columns: str) -> DataFrame:
     """Every corner shot with its occupancy attributes; a shot without players
     stays, with NULL attributes."""
@@ -150,6 +153,7 @@ def shot_to_corner(shots_: DataFrame, t: EventTables, how: str = "left") -> Data
     return shots_.join(corner, "key_pass_id", how)
 
 
+@stored()
 def enriched_shots(t: EventTables) -> DataFrame:
     """Corner shots of known occupancy with match, taker, coordinates and xG."""
     columns = ["match_id", "team_name", "player_name", "minute", "second", "xg", "xgot"]
@@ -200,6 +204,7 @@ def corner_base(t: EventTables, *columns: str) -> DataFrame:
 ROWS = "filas"
 
 
+@stored("xg", "pass_length", "inswinging", "outswinging")
 def corner_totals(t: EventTables, *columns: str) -> DataFrame:
     """One row per corner: ``filas`` outcome rows (one per shot it led to, at
     least one), ``remates`` shots, ``goles`` goals and ``xg_vinculado``, the xG

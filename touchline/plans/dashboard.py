@@ -39,7 +39,13 @@ SECTIONS = {
 TEAM_CHOICES = {"s9": checks.radar_teams, "s11": checks.event_teams}
 
 
+def default_team(t: EventTables, name: str) -> str | None:
+    """The team a section shows before one is chosen: the first of its selector."""
+    first = TEAM_CHOICES[name](t).first()
+    return first and first[0]
+
+
 def section(t: EventTables, name: str, season: str | None = None, team: str | None = None) -> DataFrame:
     if name in TEAM_CHOICES and team is None:
-        raise ValueError(f"section {name} needs a team")
+        team = default_team(t, name)
     return SECTIONS[name][1](t, season, team)

@@ -80,20 +80,17 @@ def tactical_profile(
     )
 
 
-def team_season_metrics(t: EventTables, xg_mode: str = "linked") -> DataFrame:
-    """Corner volume, quality and delivery mix per known season and team.
+XG_MODES = {"linked": "xG_linked", "as_written": "xG_as_written"}
 
-    ``xg_mode``: "linked" sums the xG of the shots a corner led to; "as_written"
-    sums the xG recorded on the corner events themselves, which the feed leaves
-    empty, and is therefore 0.
-    """
+
+def _team_season_totals(t: EventTables) -> DataFrame:
     shares = [S.OUTSWINGER, S.INSWINGER, S.SHORT, S.DIRECT]
     kind = delivery_type(other=S.DIRECT)
     own_xg = F.when(F.col("remates") > 0, F.col("xg"))
-    xg = {"linked": F.col("xg_vinculado"), "as_written": own_xg}[xg_mode]
     sums = {
         **outcome_sums(),
-        "xG": F.sum(xg),
+        "xG_linked": F.sum("xg_vinculado"),
+        "xG_as_written": F.sum(own_xg),
         **{k: F.sum(F.when(F.col("clase") == k, F.col(ROWS)).otherwise(0)) for k in shares},
     }
     extra = ["xg", "pass_length", "inswinging", "outswinging"]
@@ -104,13 +101,29 @@ def team_season_metrics(t: EventTables, xg_mode: str = "linked") -> DataFrame:
         "team_name",
         F.col("remates").alias("Remates"),
         F.col("goles").alias("Goles"),
-        F.coalesce("xG", F.lit(0.0)).alias("xG"),
+        *(F.coalesce(c, F.lit(0.0)).alias(c) for c in XG_MODES.values()),
         F.coalesce("obv", F.lit(0.0)).alias("OBV"),
         _shot_rate().alias("Tasa_Remate"),
         *(ratio(F.col(k), F.col(ROWS)).alias(k) for k in shares),
     )
 
 
+def team_season_metrics(t: EventTables, xg_mode: str = "linked") -> DataFrame:
+    """Corner volume, quality and delivery mix per known season and team.
+
+    ``xg_mode``: "linked" sums the xG of the shots a corner led to; "as_written"
+    sums the xG recorded on the corner events themselves, which the feed leaves
+    empty, and is therefore 0.
+    """
+    totals = _team_season_totals(t).withColumnRenamed(XG_MODES[xg_mode], "xG")
+    return totals.select("temporada", "team_name", *S.RADAR_METRICS)
+
+
+def team_xg_from_corners(t: EventTables) -> DataFrame:
+    """Both readings of a team's xG from corners, side by side."""
+    return _team_season_totals(t).select("temporada", "team_name", *XG_MODES.values())
+
+
 def delivery_mix(t: EventTables) -> DataFrame:
     """Share of each delivery type per season and team."""
     return team_season_metrics(t).select(

@@ -15,6 +15,7 @@ from touchline.operators.relational import (
     without_logo,
 )
 from touchline.plans.corners import shots, sums_by_season
+from touchline.plans.stored import stored
 from touchline.schema import MATCH_MINUTES
 from touchline.sources.tables import EventTables
 
@@ -42,6 +43,7 @@ def minutes_per_team(t: EventTables, only_with_events: bool = False) -> DataFram
     )
 
 
+@stored()
 def set_piece_chances(t: EventTables) -> DataFrame:
     """Set-piece and total shots per season and team."""
     flagged = shots(t).select("match_id", "team_name", is_set_piece().alias("es_balon_parado"))

@@ -1,53 +1,65 @@
-"""Derived tables of the application, written once and read by the dashboard."""
+"""Prepared tables: written once from the events, read by every later query.
+
+    python -m touchline.plans.marts --events DIR --matches FILE --out DIR
+"""
 
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from touchline.plans import corners, delivery, dependence
+# Importing the plans registers their base tables.
+from touchline.plans import checks, corners, delivery, dependence, ratios, spatial  # noqa: F401
+from touchline.plans.stored import BASE_TABLES
 from touchline.session import build_session
 from touchline.sources.tables import EventTables, open_tables, write_table
 
-
-def marts(t: EventTables) -> dict[str, DataFrame]:
-    """Name -> lazy table."""
-    frame = ["freeze_frame"] if t.frames is None else []
-    return {
-        "corner_shots": corners.corner_assisted_shots(t).drop(*frame),
-        "box_occupancy": corners.occupancy_category(t),
-        "enriched_shots": corners.enriched_shots(t),
-        "corner_outcomes": corners.corner_outcomes(t),
-        "set_piece_dependence": dependence.set_piece_dependence(t),
-        "logos": t.logos,
-        "percentile_profile": delivery.percentile_profile(t),
-    }
+INPUTS = ["matches", "logos"]
+# Written from the events; no query reads it back.
+FROM_EVENTS = {"corner_assisted_shots": corners.corner_assisted_shots}
+# Tables derived from the written base tables.
+DERIVED = {
+    "set_piece_dependence": dependence.set_piece_dependence,
+    "percentile_profile": delivery.percentile_profile,
+    "corner_outcomes": corners.corner_outcomes,
+}
 
 
-def write_marts(t: EventTables, folder: str) -> None:
-    for name, table in marts(t).items():
-        write_table(table, f"{folder}/{name}")
+def write_marts(t: EventTables, folder: str) -> EventTables:
+    """Write the base tables, then what derives from them; returns the prepared
+    tables. Each table is a job of its own, and later ones start from files
+    instead of repeating the earlier work."""
+    for name in INPUTS:
+        write_table(getattr(t, name), f"{folder}/{name}")
+    for name, compute in {**FROM_EVENTS, **BASE_TABLES}.items():
+        write_table(compute(t), f"{folder}/{name}")
+    prepared = read_marts(t.events.sparkSession, folder)
+    for name, compute in DERIVED.items():
+        write_table(compute(prepared), f"{folder}/{name}")
+    return prepared
 
 
-MART_NAMES = [
-    "corner_shots", "box_occupancy", "enriched_shots", "corner_outcomes",
-    "set_piece_dependence", "logos", "percentile_profile",
-]
+def read_marts(spark: SparkSession, folder: str) -> EventTables:
+    """Prepared tables, ready for every query that does not need raw events."""
+    stored = {name: spark.read.parquet(f"{folder}/{name}") for name in BASE_TABLES}
+    inputs = {name: spark.read.parquet(f"{folder}/{name}") for name in INPUTS}
+    return EventTables(events=None, stored=stored, **inputs)
 
 
-def read_marts(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in MART_NAMES}
+def with_events(prepared: EventTables, raw: EventTables) -> EventTables:
+    """Prepared tables plus the raw events, for the queries that need both."""
+    return replace(prepared, events=raw.events, frames=raw.frames)
 
 
 def main() -> None:
     parser = argparse.ArgumentParser(description="Prepare the derived tables from raw event files.")
     parser.add_argument("--events", required=True, help="folder of event Parquet files")
     parser.add_argument("--matches", required=True, help="match Parquet file")
-    parser.add_argument("--out", required=True, help="folder for the derived tables")
+    parser.add_argument("--out", required=True, help="folder for the prepared tables")
     args = parser.parse_args()
-    spark = build_session("prepare")
-    write_marts(open_tables(spark, args.events, args.matches), args.out)
+    write_marts(open_tables(build_session("prepare"), args.events, args.matches), args.out)
 
 
 if __name__ == "__main__":

@@ -6,15 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.corner import is_goal
+from touchline.functions.labels import two_decimals
 from touchline.functions.nulls import count_true, ratio
 from touchline.operators.relational import decorate_logo, for_season
 from touchline.operators.sequences import flag_followed
 from touchline.plans.corners import ROWS, corner_events, corner_totals, sums_by_season
+from touchline.plans.stored import stored
 from touchline.sources.tables import EventTables
 
 SEQUENCE_KEYS = ["match_id", "possession", "team_id", "team_name"]
 
 
+def _ratio_table(totals: DataFrame, goals: str, t: EventTables) -> DataFrame:
+    """Corners per goal of those with a goal, as number and text, with the badge."""
+    per_goal = ratio(F.col("total_corners"), F.col(goals))
+    scored = totals.where(F.col(goals) > 0).withColumns(
+        {"corners_por_gol": per_goal, "etiqueta": two_decimals(per_goal)}
+    )
+    return decorate_logo(scored, t.logos)
+
+
 def _direct_totals(t: EventTables, by_season: bool) -> DataFrame:
     sums = {"total_corners": F.sum(ROWS), "total_goles_de_corner": F.sum("goles")}
     corners = corner_totals(t)
@@ -30,21 +41,18 @@ def corners_per_goal(t: EventTables, season: str | None = None) -> DataFrame:
     with several shots counts once per shot.
     """
     totals = for_season(_direct_totals(t, by_season=season is not None), season).drop("temporada")
-    scored = totals.where(F.col("total_goles_de_corner") > 0)
-    per_goal = ratio(F.col("total_corners"), F.col("total_goles_de_corner"))
-    return decorate_logo(scored.withColumn("corners_por_gol", per_goal), t.logos).orderBy("corners_por_gol")
+    return _ratio_table(totals, "total_goles_de_corner", t).orderBy("corners_por_gol")
 
 
 def corners_per_goal_by_season(t: EventTables) -> DataFrame:
     """The same per known season and team."""
     totals = _direct_totals(t, by_season=True).where(F.col("temporada").isNotNull())
-    scored = totals.where(F.col("total_goles_de_corner") > 0)
-    per_goal = ratio(F.col("total_corners"), F.col("total_goles_de_corner"))
-    return decorate_logo(scored.withColumn("corners_por_gol", per_goal), t.logos).orderBy(
+    return _ratio_table(totals, "total_goles_de_corner", t).orderBy(
         "temporada", "corners_por_gol"
     )
 
 
+@stored()
 def flagged_corners(t: EventTables) -> DataFrame:
     """Corners, marked when their team scores later in the same possession."""
     corners = corner_events(t).select("id", "ts", *SEQUENCE_KEYS)
@@ -71,26 +79,22 @@ def corners_per_sequence_goal(t: EventTables, season: str | None = None) -> Data
         totals = corners.groupBy("team_name").agg(*(c.alias(n) for n, c in _sequence_sums().items()))
     else:
         totals = for_season(sums_by_season(corners, t, _sequence_sums(), ["team_name"]), season)
-    scored = totals.drop("temporada").where(F.col("total_goles_secuencia") > 0)
-    per_goal = ratio(F.col("total_corners"), F.col("total_goles_secuencia"))
-    return decorate_logo(scored.withColumn("corners_por_gol", per_goal), t.logos).orderBy("corners_por_gol")
+    return _ratio_table(totals.drop("temporada"), "total_goles_secuencia", t).orderBy("corners_por_gol")
 
 
 def corners_per_sequence_goal_by_season(t: EventTables) -> DataFrame:
     """The same per season and team; the unknown season is a group of its own."""
     totals = sums_by_season(flagged_corners(t), t, _sequence_sums(), ["team_name"])
-    scored = totals.where(F.col("total_goles_secuencia") > 0)
-    per_goal = ratio(F.col("total_corners"), F.col("total_goles_secuencia"))
-    return decorate_logo(scored.withColumn("corners_por_gol", per_goal), t.logos).orderBy(
+    return _ratio_table(totals, "total_goles_secuencia", t).orderBy(
         F.col("temporada").asc_nulls_last(), "corners_por_gol"
     )
 
 
 def corners_per_sequence_goal_agg(t: EventTables) -> DataFrame:
     """Re-aggregated over the seasons in which the team scored that way."""
-    totals = corners_per_sequence_goal_by_season(t).groupBy("logo_url", "team_name").agg(
+    by_season = sums_by_season(flagged_corners(t), t, _sequence_sums(), ["team_name"])
+    totals = by_season.where(F.col("total_goles_secuencia") > 0).groupBy("team_name").agg(
         F.sum("total_corners").alias("total_corners"),
         F.sum("total_goles_secuencia").alias("total_goles_secuencia"),
     )
-    per_goal = ratio(F.col("total_corners"), F.col("total_goles_secuencia"))
-    return totals.withColumn("corners_por_gol", per_goal).orderBy("corners_por_gol")
+    return _ratio_table(totals, "total_goles_secuencia", t).orderBy("corners_por_gol")

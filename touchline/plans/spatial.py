@@ -11,14 +11,14 @@ from touchline.operators.density import contour_levels, kernel_density
 from touchline.operators.relational import for_season, with_logo
 from touchline.operators.zones import assign_zones
 from touchline.plans.corners import corner_events, season_of_match, sums_by_season, with_season
+from touchline.plans.stored import stored
 from touchline.sources.tables import EventTables
 
 
-def _end_points(t: EventTables, team: str | None = None) -> DataFrame:
-    corners = corner_events(t)
-    if team is not None:
-        corners = corners.where(F.col("team_name") == team)
-    return corners.select(
+@stored()
+def corner_end_points(t: EventTables) -> DataFrame:
+    """Every corner with delivery type and end point; coordinates may be unknown."""
+    return corner_events(t).select(
         "match_id",
         "team_name",
         delivery_type().alias("tipo_cobro"),
@@ -29,7 +29,7 @@ def _end_points(t: EventTables, team: str | None = None) -> DataFrame:
 
 def delivery_points(t: EventTables, season: str | None = None) -> DataFrame:
     """End point of each corner of known season (section 10)."""
-    points = with_season(_end_points(t).where(F.col("end_x").isNotNull()), t)
+    points = with_season(corner_end_points(t).where(F.col("end_x").isNotNull()), t)
     known = points.where(F.col("temporada").isNotNull())
     return for_season(known, season).select("team_name", "temporada", "end_x", "end_y")
 
@@ -52,20 +52,23 @@ def delivery_heatmap(
 
 def zone_assignment(t: EventTables) -> DataFrame:
     """Each corner of known season and end point, once per zone it falls in."""
-    points = with_season(_end_points(t).where(F.col("end_x").isNotNull()), t)
+    points = with_season(corner_end_points(t).where(F.col("end_x").isNotNull()), t)
     return assign_zones(points.where(F.col("temporada").isNotNull()))
 
 
 def _zone_totals(t: EventTables, team: str | None = None) -> DataFrame:
     """Corners per known season, team, delivery type and zone."""
-    points = assign_zones(_end_points(t, team).where(F.col("end_x").isNotNull()))
+    corners = corner_end_points(t).where(F.col("end_x").isNotNull())
+    if team is not None:
+        corners = corners.where(F.col("team_name") == team)
+    points = assign_zones(corners)
     by = ["team_name", "tipo_cobro", "zona_nombre"]
     totals = sums_by_season(points, t, {"total_en_zona": F.count("*")}, by)
     return totals.where(F.col("temporada").isNotNull())
 
 
 def _zones_with_anchor(t: EventTables) -> DataFrame:
-    return S.zones_table(t.events.sparkSession).withColumns(
+    return S.zones_table(t.matches.sparkSession).withColumns(
         {
             "centro_x": (F.col("xmin") + F.col("xmax")) / 2,
             "centro_y": (F.col("ymin") + F.col("ymax")) / 2,
@@ -80,7 +83,7 @@ def zone_map(t: EventTables, team: str, season: str | None = None) -> DataFrame:
     counts = totals.groupBy("zona_nombre", "team_name", "tipo_cobro").agg(
         F.sum("total_en_zona").alias("total_en_zona")
     )
-    chosen = corner_events(t).where(F.col("team_name") == team)
+    chosen = corner_end_points(t).where(F.col("team_name") == team)
     if season is not None:
         of_season = season_of_match(t).where(F.col("temporada") == season).select("match_id")
         chosen = chosen.join(of_season, "match_id", "left_semi")

@@ -13,6 +13,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline import schema as S
 from touchline.sources.tables import write_by_season
@@ -53,8 +54,9 @@ def ingest(spark: SparkSession, feed: DataFrame, matches: DataFrame, landing: st
     return run
 
 
-def scan_landing(spark: SparkSession, landing: str) -> DataFrame:
-    """All landed events; a season filter prunes folders."""
-    events = spark.read.option("mergeSchema", "false").parquet(f"{landing}/events")
+def scan_landing(spark: SparkSession, landing: str, schema: T.StructType = S.EVENTS) -> DataFrame:
+    """All landed events (``schema`` plus ``season_name``); a season filter prunes folders."""
+    folders = [T.StructField("run", T.StringType()), T.StructField("season_name", T.StringType())]
+    events = spark.read.schema(T.StructType([*schema.fields, *folders])).parquet(f"{landing}/events")
     manifest = spark.read.schema("run string, match_id bigint").parquet(f"{landing}/manifest")
     return events.join(manifest, ["run", "match_id"], "left_semi").drop("run")

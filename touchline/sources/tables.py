@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ class EventTables:
     matches: DataFrame
     logos: DataFrame
     frames: DataFrame | None = None
+    # Prepared tables by name (see plans.stored); empty means compute everything.
+    stored: dict[str, DataFrame] = field(default_factory=dict)
 
     def harmonized(self, names: dict[str, str] = S.TEAM_NAMES) -> "EventTables":
         """Team names recoded in events, both match roles and logos."""
