@@ -194,7 +194,7 @@ def queries() -> dict[str, Query]:
         "team_regex_filter": _unlinked(_team_regex_filter),
         "events_with_season": _unlinked(_events_with_season),
         "shot_to_corner": _linked(_shot_to_corner),
-        "shots_with_category": _linked(corners.shots_with_category),
+        "shots_with_category": _linked(lambda t: corners.shots_with_category(t).drop("match_id", "xg")),
         "with_logo": _unlinked(_with_logo),
         "teams_without_logo": _unlinked(dependence.teams_without_logo),
         # corners

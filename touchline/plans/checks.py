@@ -37,7 +37,7 @@ def corner_goals_check(t: EventTables, season: str, team_pattern: str) -> DataFr
     )
 
 
-@stored()
+@stored
 def team_names(t: EventTables) -> DataFrame:
     return t.events.select("team_name").distinct()
 

@@ -36,6 +36,31 @@ def corner_events(t: EventTables) -> DataFrame:
     return t.events.where(F.col("pass_type") == S.CORNER)
 
 
+@stored
+def corner_table(t: EventTables) -> DataFrame:
+    """Corners with delivery type, taker and flat coordinates; queries read the
+    columns they need."""
+    return corner_events(t).select(
+        "id",
+        "match_id",
+        "possession",
+        "ts",
+        "team_id",
+        "team_name",
+        "player_name",
+        "pass_length",
+        "inswinging",
+        "outswinging",
+        "obv_total_net",
+        "xg",
+        delivery_type().alias("tipo_cobro"),
+        coordinate(F.col("location"), 0).alias("start_x"),
+        coordinate(F.col("location"), 1).alias("start_y"),
+        coordinate(F.col("pass_end_location"), 0).alias("end_x"),
+        coordinate(F.col("pass_end_location"), 1).alias("end_y"),
+    )
+
+
 def shots(t: EventTables) -> DataFrame:
     return t.events.where(F.col("type_name") == S.SHOT)
 
@@ -51,10 +76,15 @@ def linked_shots(t: EventTables) -> DataFrame:
     return shots_with_freeze_frame(t).where(F.col("key_pass_id").isNotNull())
 
 
+def of_corners(shots_: DataFrame, t: EventTables) -> DataFrame:
+    """The shots whose key pass is a corner."""
+    ids = corner_table(t).select(F.col("id").alias("key_pass_id"))
+    return shots_.join(ids, "key_pass_id", "left_semi")
+
+
 def corner_assisted_shots(t: EventTables) -> DataFrame:
     """Shots with a frame whose key pass is a corner."""
-    ids = corner_events(t).select(F.col("id").alias("key_pass_id"))
-    return linked_shots(t).join(ids, "key_pass_id", "left_semi")
+    return of_corners(linked_shots(t), t)
 
 
 def _box_flag_counts(flag: Column) -> list[Column]:
@@ -94,11 +124,24 @@ def count_box_attackers(corner_shots: DataFrame, t: EventTables) -> DataFrame:
     )
 
 
-def _counted(shots_: DataFrame, t: EventTables, *columns: str) -> DataFrame:
-    """Narrow to ``columns`` and attach PLAYERS and ATTACKERS."""
+@stored
+def counted_shots(t: EventTables) -> DataFrame:
+    """``linked_shots`` with PLAYERS and ATTACKERS in place of the frame."""
     frame = ["freeze_frame"] if t.frames is None else []
-    wanted = dict.fromkeys(["id", "key_pass_id", "shot_outcome", *columns, *frame])
-    return count_box_attackers(shots_.select(*wanted), t).drop(*frame)
+    narrow = linked_shots(t).select(
+        "id",
+        "key_pass_id",
+        "match_id",
+        "team_name",
+        "player_name",
+        "minute",
+        "second",
+        "shot_outcome",
+        "xg",
+        "xgot",
+        *frame,
+    )
+    return count_box_attackers(narrow, t).drop(*frame)
 
 
 def _with_level(df: DataFrame) -> DataFrame:
@@ -110,10 +153,9 @@ def _with_level(df: DataFrame) -> DataFrame:
     )
 
 
-@stored()
 def box_occupancy(t: EventTables) -> DataFrame:
     """Box attackers and goal flag per corner shot with at least one player."""
-    seen = _counted(corner_assisted_shots(t), t).where(F.col(PLAYERS) > 0)
+    seen = of_corners(counted_shots(t).where(F.col(PLAYERS) > 0), t)
     return seen.select("id", ATTACKERS, is_goal().alias("fue_gol"))
 
 
@@ -122,19 +164,18 @@ def occupancy_category(t: EventTables) -> DataFrame:
     return _with_level(box_occupancy(t))
 
 
-@stored("match_id", "xg")
-def shots_with_category(t: EventTables, *columns: str) -> DataFrame:
+def shots_with_category(t: EventTables) -> DataFrame:
     """Every corner shot with its occupancy attributes; a shot without players
     stays, with NULL attributes."""
-    counted = _with_level(_counted(corner_assisted_shots(t), t, *columns))
-    return counted.select(
+    return _with_level(of_corners(counted_shots(t), t)).select(
         "id",
         "key_pass_id",
+        "match_id",
+        "xg",
         ATTACKERS,
         F.when(F.col(PLAYERS) > 0, is_goal()).alias("fue_gol"),
         "categoria_atacantes",
         "categoria_orden",
-        *columns,
     )
 
 
@@ -142,24 +183,21 @@ def shot_to_corner(shots_: DataFrame, t: EventTables, how: str = "left") -> Data
     """Attach taker, start and end of the corner named by ``key_pass_id``; one
     join serves all of them. ``how="inner"`` also keeps only the shots whose key
     pass is a corner."""
-    corner = corner_events(t).select(
+    corner = corner_table(t).select(
         F.col("id").alias("key_pass_id"),
         F.col("player_name").alias("ejecutor"),
-        coordinate(F.col("location"), 0).alias("start_x"),
-        coordinate(F.col("location"), 1).alias("start_y"),
-        coordinate(F.col("pass_end_location"), 0).alias("end_x"),
-        coordinate(F.col("pass_end_location"), 1).alias("end_y"),
+        "start_x",
+        "start_y",
+        "end_x",
+        "end_y",
     )
     return shots_.join(corner, "key_pass_id", how)
 
 
-@stored()
+@stored
 def enriched_shots(t: EventTables) -> DataFrame:
     """Corner shots of known occupancy with match, taker, coordinates and xG."""
-    columns = ["match_id", "team_name", "player_name", "minute", "second", "xg", "xgot"]
-    corner_columns = ["ejecutor", "start_x", "start_y", "end_x", "end_y"]
-    corner_shots = shot_to_corner(linked_shots(t), t, "inner")
-    counted = _counted(corner_shots, t, *columns, *corner_columns)
+    known = _with_level(counted_shots(t).where(F.col(ATTACKERS).isNotNull()))
     match = t.matches.select(
         "match_id",
         F.col("match_date").alias("fecha"),
@@ -167,8 +205,7 @@ def enriched_shots(t: EventTables) -> DataFrame:
         F.col("away_team_name").alias("equipo_visitante"),
         F.col("season_name").alias("temporada"),
     )
-    known = _with_level(counted).where(F.col(ATTACKERS).isNotNull())
-    return known.join(match, "match_id", "left").select(
+    return shot_to_corner(known, t, "inner").join(match, "match_id", "left").select(
         "id",
         "match_id",
         "key_pass_id",
@@ -193,19 +230,12 @@ def enriched_shots(t: EventTables) -> DataFrame:
     )
 
 
-def corner_base(t: EventTables, *columns: str) -> DataFrame:
-    """Corners with their delivery type."""
-    return corner_events(t).select(
-        "id", "match_id", "team_name", delivery_type().alias("tipo_cobro"), "obv_total_net", *columns
-    )
-
-
 # Per-corner number of rows in ``corner_outcomes``.
 ROWS = "filas"
 
 
-@stored("xg", "pass_length", "inswinging", "outswinging")
-def corner_totals(t: EventTables, *columns: str) -> DataFrame:
+@stored
+def corner_totals(t: EventTables) -> DataFrame:
     """One row per corner: ``filas`` outcome rows (one per shot it led to, at
     least one), ``remates`` shots, ``goles`` goals and ``xg_vinculado``, the xG
     of its shots.
@@ -218,7 +248,7 @@ def corner_totals(t: EventTables, *columns: str) -> DataFrame:
     """
     goal = (F.col(PLAYERS) > 0) & is_goal()
     per_key_pass = (
-        _counted(linked_shots(t), t, "xg")
+        counted_shots(t)
         .groupBy(F.col("key_pass_id").alias("id"))
         .agg(
             F.count("*").alias("remates"),
@@ -227,7 +257,7 @@ def corner_totals(t: EventTables, *columns: str) -> DataFrame:
         )
     )
     shots_of_corner = F.coalesce("remates", F.lit(0))
-    return corner_base(t, *columns).join(per_key_pass, "id", "left").withColumns(
+    return corner_table(t).join(per_key_pass, "id", "left").withColumns(
         {
             "remates": shots_of_corner,
             "goles": F.coalesce("goles", F.lit(0)),

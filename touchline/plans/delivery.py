@@ -93,8 +93,7 @@ def _team_season_totals(t: EventTables) -> DataFrame:
         "xG_as_written": F.sum(own_xg),
         **{k: F.sum(F.when(F.col("clase") == k, F.col(ROWS)).otherwise(0)) for k in shares},
     }
-    extra = ["xg", "pass_length", "inswinging", "outswinging"]
-    corners = corner_totals(t, *extra).withColumn("clase", kind)
+    corners = corner_totals(t).withColumn("clase", kind)
     totals = sums_by_season(corners, t, sums, ["team_name"]).where(F.col("temporada").isNotNull())
     return totals.select(
         "temporada",

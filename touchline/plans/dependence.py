@@ -43,7 +43,7 @@ def minutes_per_team(t: EventTables, only_with_events: bool = False) -> DataFram
     )
 
 
-@stored()
+@stored
 def set_piece_chances(t: EventTables) -> DataFrame:
     """Set-piece and total shots per season and team."""
     flagged = shots(t).select("match_id", "team_name", is_set_piece().alias("es_balon_parado"))

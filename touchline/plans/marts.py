@@ -17,10 +17,10 @@ from touchline.session import build_session
 from touchline.sources.tables import EventTables, open_tables, write_table
 
 INPUTS = ["matches", "logos"]
-# Written from the events; no query reads it back.
-FROM_EVENTS = {"corner_assisted_shots": corners.corner_assisted_shots}
-# Tables derived from the written base tables.
-DERIVED = {
+# Results kept next to the base tables; no query reads them back.
+RESULTS = {
+    "corner_assisted_shots": corners.corner_assisted_shots,
+    "occupancy_category": corners.occupancy_category,
     "set_piece_dependence": dependence.set_piece_dependence,
     "percentile_profile": delivery.percentile_profile,
     "corner_outcomes": corners.corner_outcomes,
@@ -28,17 +28,21 @@ DERIVED = {
 
 
 def write_marts(t: EventTables, folder: str) -> EventTables:
-    """Write the base tables, then what derives from them; returns the prepared
-    tables. Each table is a job of its own, and later ones start from files
-    instead of repeating the earlier work."""
+    """Write the base tables and the results; returns the prepared tables.
+
+    Each table starts from the files of those before it: the events are scanned
+    for the corners, the shots and the goals, and the rest works on tables the
+    size of corners and shots.
+    """
+    spark = t.events.sparkSession
     for name in INPUTS:
         write_table(getattr(t, name), f"{folder}/{name}")
-    for name, compute in {**FROM_EVENTS, **BASE_TABLES}.items():
+    for name, compute in BASE_TABLES.items():
+        write_table(compute(t), f"{folder}/{name}")
+        t = replace(t, stored={**t.stored, name: spark.read.parquet(f"{folder}/{name}")})
+    for name, compute in RESULTS.items():
         write_table(compute(t), f"{folder}/{name}")
-    prepared = read_marts(t.events.sparkSession, folder)
-    for name, compute in DERIVED.items():
-        write_table(compute(prepared), f"{folder}/{name}")
-    return prepared
+    return read_marts(spark, folder)
 
 
 def read_marts(spark: SparkSession, folder: str) -> EventTables:

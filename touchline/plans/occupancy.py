@@ -63,8 +63,8 @@ def _level_sums():
     }
 
 
-def _levelled_shots(t: EventTables, *columns: str) -> DataFrame:
-    shots = shots_with_category(t, "xg", *columns).withColumnRenamed("xg", "xG")
+def _levelled_shots(t: EventTables) -> DataFrame:
+    shots = shots_with_category(t).withColumnRenamed("xg", "xG")
     return shots.where(F.col("categoria_atacantes").isNotNull())
 
 
@@ -87,7 +87,7 @@ def occupancy_xg_summary(t: EventTables) -> DataFrame:
 
 def occupancy_season_totals(t: EventTables) -> DataFrame:
     """Shots, xG and goals per known season and level, wide form."""
-    totals = sums_by_season(_levelled_shots(t, "match_id"), t, _level_sums(), LEVEL)
+    totals = sums_by_season(_levelled_shots(t), t, _level_sums(), LEVEL)
     return totals.where(F.col("temporada").isNotNull())
 
 

@@ -10,7 +10,7 @@ from touchline.functions.labels import two_decimals
 from touchline.functions.nulls import count_true, ratio
 from touchline.operators.relational import decorate_logo, for_season
 from touchline.operators.sequences import flag_followed
-from touchline.plans.corners import ROWS, corner_events, corner_totals, sums_by_season
+from touchline.plans.corners import ROWS, corner_table, corner_totals, sums_by_season
 from touchline.plans.stored import stored
 from touchline.sources.tables import EventTables
 
@@ -52,10 +52,10 @@ def corners_per_goal_by_season(t: EventTables) -> DataFrame:
     )
 
 
-@stored()
+@stored
 def flagged_corners(t: EventTables) -> DataFrame:
     """Corners, marked when their team scores later in the same possession."""
-    corners = corner_events(t).select("id", "ts", *SEQUENCE_KEYS)
+    corners = corner_table(t).select("id", "ts", *SEQUENCE_KEYS)
     goals = t.events.where(is_goal()).select("ts", *SEQUENCE_KEYS)
     return flag_followed(corners, goals, SEQUENCE_KEYS, "ts", "gol_en_secuencia")
 

@@ -6,25 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline import schema as S
-from touchline.functions.corner import coordinate, delivery_type
 from touchline.operators.density import contour_levels, kernel_density
 from touchline.operators.relational import for_season, with_logo
 from touchline.operators.zones import assign_zones
-from touchline.plans.corners import corner_events, season_of_match, sums_by_season, with_season
-from touchline.plans.stored import stored
+from touchline.plans.corners import corner_table, season_of_match, sums_by_season, with_season
 from touchline.sources.tables import EventTables
 
 
-@stored()
 def corner_end_points(t: EventTables) -> DataFrame:
     """Every corner with delivery type and end point; coordinates may be unknown."""
-    return corner_events(t).select(
-        "match_id",
-        "team_name",
-        delivery_type().alias("tipo_cobro"),
-        coordinate(F.col("pass_end_location"), 0).alias("end_x"),
-        coordinate(F.col("pass_end_location"), 1).alias("end_y"),
-    )
+    return corner_table(t).select("match_id", "team_name", "tipo_cobro", "end_x", "end_y")
 
 
 def delivery_points(t: EventTables, season: str | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Base tables that can be written once and read back in place of a computation.
 
-A function marked ``@stored(...)`` answers from ``tables.stored`` when the table
-is there and computes it from the events otherwise, so every query runs the same
-on raw events and on prepared tables.
+A function marked ``@stored`` answers from ``tables.stored`` when the table is
+there and computes it from the events otherwise, so every query runs the same on
+raw events and on prepared tables.
 """
 
 from __future__ import annotations
@@ -13,24 +13,16 @@ from pyspark.sql import DataFrame
 
 from touchline.sources.tables import EventTables
 
-# name -> function writing the table with all its optional columns
+# name -> function; later tables build on earlier ones.
 BASE_TABLES: dict = {}
 
 
-def stored(*optional: str):
-    """Mark ``function(tables, *columns)``; ``optional`` are the columns a caller
-    may ask for, all of which are kept in the written table."""
+def stored(function):
+    name = function.__name__
 
-    def mark(function):
-        name = function.__name__
+    @wraps(function)
+    def answer(t: EventTables) -> DataFrame:
+        return t.stored[name] if name in t.stored else function(t)
 
-        @wraps(function)
-        def answer(t: EventTables, *columns: str) -> DataFrame:
-            if name not in t.stored:
-                return function(t, *columns)
-            return t.stored[name].drop(*(c for c in optional if c not in columns))
-
-        BASE_TABLES[name] = lambda t: function(t, *optional)
-        return answer
-
-    return mark
+    BASE_TABLES[name] = answer
+    return answer
