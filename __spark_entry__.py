@@ -226,6 +226,9 @@ def queries() -> dict[str, Query]:
         "team_xg_from_corners": _linked(delivery.team_xg_from_corners),
         "delivery_mix": _linked(delivery.delivery_mix),
         "percentile_profile": _linked(delivery.percentile_profile),
+        "percentile_profile_as_written": _linked(
+            lambda t: delivery.percentile_profile(t, xg_mode="as_written")
+        ),
         "team_radars": _linked(delivery.team_radars),
         "team_radar": _linked(lambda t: delivery.team_radar(t, SEASON, TEAM)),
         "rate_labels": _linked(_rate_labels),

@@ -486,6 +486,11 @@ STATEMENTS: dict[str, str] = {
         'SELECT temporada, team_name, "Outswinger", "Inswinger", "Corto", "Directo" FROM equipo_temporada'
     ),
     "percentile_profile": _statement("SELECT * FROM percentiles", _PERCENTILES),
+    "percentile_profile_as_written": _statement(
+        "SELECT * FROM percentiles", _PERCENTILES.replace(
+            "FROM equipo_temporada", 'FROM (SELECT * REPLACE (0.0::DOUBLE AS "xG") FROM equipo_temporada)'
+        )
+    ),
     "team_radars": _statement("SELECT * FROM radares", _PERCENTILES, _RADAR_LONG),
     "team_radar": _statement(
         f"SELECT * FROM radares WHERE temporada = '{SEASON}' AND team_name = '{TEAM}'", _PERCENTILES, _RADAR_LONG

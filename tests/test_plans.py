@@ -5,7 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as registry
-from touchline.plans import corners, ratios, spatial
+from touchline.plans import corners, occupancy, ratios, spatial
 from touchline.sources import driver_tables
 from touchline.sources.tables import EventTables, scan_events
 from touchline import schema as S
@@ -74,9 +74,24 @@ def test_sequence_goals_shrink_before_the_join(feed):
     assert re.search(r"Join LeftOuter", plan) and "max(ts" in plan
 
 
-def test_small_dimensions_are_not_hinted():
-    """Joins leave the choice of a broadcast to Spark's size estimates."""
+def test_only_the_level_counts_are_hinted():
+    """Other joins leave the choice of a broadcast to Spark's size estimates."""
     from pathlib import Path
 
-    for file in Path(corners.__file__).parents[1].rglob("*.py"):
-        assert "broadcast(" not in file.read_text()
+    files = Path(corners.__file__).parents[1].rglob("*.py")
+    assert [f.name for f in files if "broadcast(" in f.read_text()] == ["occupancy.py"]
+
+
+def test_titles_do_not_shuffle_the_shots(spark, sf_dir):
+    shots = spark.range(10).selectExpr("id", "'0 Atacantes' AS categoria_atacantes")
+    plan = occupancy.facet_counts(shots, ["categoria_atacantes"], "Remates")
+    assert plan_of(plan).count("Exchange hashpartitioning") <= 1
+
+
+def test_hot_possession_is_spread(spark, feed):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(ratios.flagged_corners(feed))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(re.findall(r"hashpartitioning\([^)]*team_name#\d+, __salt", plan)) == 2

@@ -24,20 +24,32 @@ def kernel_sd(values: Column, weights: Column) -> Column:
     return F.when(width > 0, width)
 
 
-def _smoothed(df: DataFrame, by: list[str], weight: str, at: str, sd: str, grid: list[float], index: str) -> DataFrame:
-    """Sum ``weight`` x Gaussian kernel at every grid value, per ``by``.
+BLOCK = 20
 
-    One aggregate per grid value, so no row is multiplied before the exchange
-    and a group crosses it as one row per task; the values become rows after.
-    """
 
+def _smoothed(
+    df: DataFrame, by: list[str], weight: str, at: str, sd: str, low: float, step: float, cells: int, index: str
+) -> DataFrame:
+    """Sum ``weight`` x Gaussian kernel at ``cells`` grid values, per ``by``.
+
+    A row meets the grid in blocks of BLOCK values, one aggregate per value, so
+    it is repeated once per block and not per value, and a group crosses the
+    exchange as one row per block and task; the values become rows after it.
+    Blocks also keep the aggregation within the size of generated code.
+    """
+    blocks = F.sequence(F.lit(0), F.lit(math.ceil(cells / BLOCK) - 1))
+    blocked = df.withColumn("block", F.explode(blocks)).withColumn(
+        "distance", low + F.col("block") * (BLOCK * step) - F.col(at)
+    )
     sums = (
-        F.expr(f"sum({weight} * exp(-0.5D * (({value!r}D - {at}) / {sd}) * (({value!r}D - {at}) / {sd}))) AS g{i}")
-        for i, value in enumerate(grid)
+        F.expr(f"sum({weight} * exp(-0.5D * ((distance + {i * step!r}D) / {sd}) * ((distance + {i * step!r}D) / {sd})))")
+        for i in range(BLOCK)
     )
-    wide = df.groupBy(*by).agg(*sums)
-    values = F.expr("array(" + ", ".join(f"g{i}" for i in range(len(grid))) + ")")
-    return wide.select(*by, F.posexplode(values).alias(index, "s"))
+    wide = blocked.groupBy(*by, "block").agg(*(total.alias(f"g{i}") for i, total in enumerate(sums)))
+    values = F.array(*(F.col(f"g{i}") for i in range(BLOCK)))
+    rows = wide.select(*by, "block", F.posexplode(values).alias("place", "s"))
+    place = F.col("block") * BLOCK + F.col("place")
+    return rows.select(*by, place.alias(index), "s").where(F.col(index) < cells)
 
 
 def kernel_density(
@@ -60,8 +72,6 @@ def kernel_density(
     """
     step_x = (xlim[1] - xlim[0]) / (cells - 1)
     step_y = (ylim[1] - ylim[0]) / (cells - 1)
-    grid_x = [xlim[0] + i * step_x for i in range(cells)]
-    grid_y = [ylim[0] + i * step_y for i in range(cells)]
     bins = (
         points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*by, F.col(x).alias("px"), F.col(y).alias("py"))
@@ -79,8 +89,8 @@ def kernel_density(
     group = [*by, "n", "hx", "hy"]
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = bins.join(widths, by).repartition(tasks, *by, "py")
-    along_x = _smoothed(spread, [*group, "py"], "w", "px", "hx", grid_x, "ix")
-    along_y = _smoothed(along_x, [*group, "ix"], "s", "py", "hy", grid_y, "iy")
+    along_x = _smoothed(spread, [*group, "py"], "w", "px", "hx", xlim[0], step_x, cells, "ix")
+    along_y = _smoothed(along_x, [*group, "ix"], "s", "py", "hy", ylim[0], step_y, cells, "iy")
     volume = 2 * math.pi * F.col("n") * F.col("hx") * F.col("hy")
     return along_y.select(
         *by,

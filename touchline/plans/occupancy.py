@@ -107,8 +107,13 @@ def facet_counts(shots: DataFrame, by: list[str], noun: str) -> DataFrame:
 
     The counts come from a grouping with partial aggregation joined back on its
     few keys; a window over the rows would pull a whole level into one task.
+    Grouped by level alone the counts have at most one row per level and one for
+    the unknown level, so they are broadcast and the shots stay where they are;
+    with other keys Spark decides by size.
     """
     counts = shots.groupBy(*by).agg(F.count("*").alias("n"))
+    if set(by) <= set(LEVEL):
+        counts = F.broadcast(counts)
     return shots.join(counts, by, "left").withColumn(
         "titulo_facet", paste(F.col("categoria_atacantes"), "\n(N = ", F.col("n"), f" {noun})")
     )
