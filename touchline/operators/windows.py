@@ -14,19 +14,20 @@ def percentile_ranks(df: DataFrame, metrics: list[str], by: list[str]) -> DataFr
     """Percentile (0..100, rounded half-even) of each metric within its group.
 
     Ties take the lowest rank; unknown values get NULL and do not count; a
-    group with a single known value has no percentile. All metrics share one
-    exchange on ``by``.
+    group with a single known value has no percentile. The other columns must
+    identify a row: the metrics are ranked as rows, all by one sort that is
+    spread by (group, metric), and become columns again.
     """
-    group = Window.partitionBy(*by)
-
-    def percentile(name: str):
-        value = F.col(name)
-        position = F.rank().over(group.orderBy(value.asc_nulls_last())) - 1
-        others = F.count(value).over(group) - 1
-        share = position.cast("double") / others
-        return F.when(value.isNotNull() & (others > 0), F.bround(share * 100, 0))
-
-    return df.withColumns({name: percentile(name) for name in metrics})
+    ids = [c for c in df.columns if c not in metrics]
+    long = df.unpivot(ids, [F.col(m).cast("double").alias(m) for m in metrics], "metric", "value")
+    group = Window.partitionBy(*by, "metric")
+    position = F.rank().over(group.orderBy(F.col("value").asc_nulls_last())) - 1
+    others = F.count("value").over(group) - 1
+    share = F.when(F.col("value").isNotNull() & (others > 0), position.cast("double") / others)
+    ranked = long.withColumn("percentile", F.bround(share * 100, 0))
+    return ranked.groupBy(*ids).agg(
+        *(F.max(F.when(F.col("metric") == m, F.col("percentile"))).alias(m) for m in metrics)
+    )
 
 
 def rescale_unit(df: DataFrame, value: str, by: list[str], into: str) -> DataFrame:
