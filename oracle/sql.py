@@ -203,6 +203,16 @@ def _number(value: str, digits: int) -> str:
     )
 
 
+def _number4(value: str) -> str:
+    """The same at four digits, where a single digit at the fourth place prints
+    in its shorter scientific form (6e-04)."""
+    rounded = f"round_even(CAST({value} AS DECIMAL(18, 8)), 4)"
+    return (
+        f"CASE WHEN {rounded} <> 0 AND abs({rounded}) < 0.001 "
+        f"THEN CAST(CAST({rounded} * 10000 AS INTEGER) AS VARCHAR) || 'e-04' ELSE {_number(value, 4)} END"
+    )
+
+
 def _percent(value: str) -> str:
     return f"printf('%.1f%%', round_even({value} * 1000, 0) / 10)"
 
@@ -471,7 +481,7 @@ STATEMENTS: dict[str, str] = {
     # --- delivery ---
     "delivery_summary": _statement("SELECT * FROM efectividad", _DELIVERY),
     "delivery_effectiveness": _statement(
-        f"""SELECT *, CASE WHEN metrica = 'valor_promedio_obv' THEN {_number('valor', 4)}
+        f"""SELECT *, CASE WHEN metrica = 'valor_promedio_obv' THEN {_number4('valor')}
         ELSE {_percent('valor')} END AS etiqueta FROM largo""",
         _DELIVERY,
         f"largo AS ({_metrics_long('efectividad', 'tipo_cobro', _EFFECT)})",
