@@ -26,6 +26,17 @@ from touchline.streaming.landing import land_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+try:
+    import corpus_pipeline
+    from touchline.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name not in {"corpus_pipeline", "touchline.llm"}:
+        raise
+    LLM_QUERIES, LLM_SQL = {}, {}
+else:
+    LLM_QUERIES = {**llm.QUERIES, "pipeline": corpus_pipeline.run}
+    LLM_SQL = {**llm.SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+
 
 def _linked(plan: Callable[[EventTables], DataFrame]) -> Query:
     """A query that follows shots to their corners."""
@@ -261,8 +272,9 @@ def queries() -> dict[str, Query]:
         # checks
         "one_team_summary": _linked(lambda t: checks.one_team_summary(t, SEASON, TEAM_PATTERN)),
         "corner_goals_check": _unlinked(lambda t: checks.corner_goals_check(t, SEASON, TEAM_PATTERN)),
+        **LLM_QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(STATEMENTS)
+    return {**STATEMENTS, **LLM_SQL}
