@@ -48,3 +48,38 @@ def unit_hash(*cols: Column) -> Column:
     """A number in (0, 1) that depends on ``cols`` alone."""
     bits = F.shiftrightunsigned(F.xxhash64(*cols), 11)
     return (bits.cast("double") + 0.5) / float(2**53)
+
+
+#: Keys of a lookup joined by broadcast: the heaviest ones, so that any other key has at
+#: most a thousandth of the rows.
+HOT_KEYS = 1000
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``lookup``, which has one row per ``key``; safe for hot keys.
+
+    ``weight`` says how many rows a key of the lookup meets. The HOT_KEYS heaviest keys, a
+    fixed number, are broadcast; the rest are joined by shuffle, in which a row already matched
+    takes part under a key of its own.
+    """
+    values = [c for c in lookup.columns if c not in (key, weight)]
+    hot = (
+        lookup.where(F.col(weight) > 1)
+        .orderBy(F.desc(weight), key)
+        .limit(HOT_KEYS)
+        .select(F.col(key), F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in (*values, weight)))
+    )
+    found = rows.join(F.broadcast(hot), key, "left")
+    spread = F.when(F.col("_hot"), F.xxhash64(*rows.columns))
+    rest = lookup.select(
+        F.col(key).alias("_key"), F.lit(None).cast("long").alias("_spread"), *values, F.col(weight), F.lit(True).alias("_rest")
+    )
+    on = (
+        (F.when(F.col("_hot"), F.lit(None)).otherwise(F.col(key)).eqNullSafe(F.col("_key")))
+        & F.col("_spread_row").eqNullSafe(F.col("_spread"))
+    )
+    joined = found.withColumn("_spread_row", spread).join(rest, on, "left")
+    if how == "inner":
+        joined = joined.where(F.col("_hot") | F.col("_rest"))
+    merged = [F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in (*values, weight)]
+    return joined.select(*rows.columns, *merged)

@@ -14,12 +14,9 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import free_name, id_back, id_order, whole_text, written
+from touchline.llm.common import free_name, id_back, id_order, lookup_join, whole_text, written
 
 SALTS = 8
-#: Classes joined by broadcast: the largest ones, so any other class has at most
-#: a thousandth of the rows.
-HOT_CLASSES = 1000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -81,25 +78,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         id_order(id_col).alias("order"),
         _digest(ascii_lower(whole_text(text_col))).alias("digest"),
     )
-    names = ("keep_order", "keep_row", "group_size")
-    hot = (
-        classes.where("group_size > 1")
-        .orderBy(F.desc("group_size"), "digest")
-        .limit(HOT_CLASSES)
-        .select("digest", *(F.col(c).alias(f"hot_{c}") for c in names))
-    )
-    rows = rows.join(F.broadcast(hot), "digest", "left")
-    # A row that is already matched gets a key of its own, so its digest is no hot key.
-    key = F.when(F.col("hot_keep_row").isNull(), F.col("digest")).otherwise(
-        F.concat(F.lit("row "), F.col("row").cast("string")).cast("binary")
-    )
-    rows = rows.withColumn("key", key).join(classes.withColumnRenamed("digest", "key"), "key", "left")
-    found = {c: F.coalesce(F.col(f"hot_{c}"), F.col(c)) for c in names}
-    return rows.select(
+    found = lookup_join(rows, classes, "digest", "group_size")
+    return found.select(
         id_back(F.col("order")).alias(id_col),
-        id_back(found["keep_order"]).alias("keep_id"),
-        found["group_size"].alias("group_size"),
-        (F.col("row") == found["keep_row"]).alias("kept"),
+        id_back(F.col("keep_order")).alias("keep_id"),
+        "group_size",
+        (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
