@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oracle import STATEMENTS
 from oracle.sql import CELLS, SEASON, TEAM, TEAM_PATTERN
@@ -20,7 +21,7 @@ from touchline.plans import checks, corners, delivery, dependence, occupancy, ra
 from touchline.plans.marts import write_marts
 from touchline.session import work_folder
 from touchline.sources import driver_tables
-from touchline.sources.ingest import pending_matches
+from touchline.sources.ingest import ingest, pending_matches, read_manifest, scan_landing
 from touchline.sources.tables import EventTables
 from touchline.streaming.landing import land_available
 
@@ -143,23 +144,68 @@ def _rounded_grid(grid: DataFrame) -> DataFrame:
     return grid.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
+def _feed_schema() -> T.StructType:
+    return T.StructType.fromDDL(driver_tables.SCHEMAS["events"])
+
+
+def _as_feed(raw: DataFrame) -> DataFrame:
+    return raw.select("*", driver_tables.match_of_event().alias("match_id"))
+
+
+def _early_matches(matches: DataFrame) -> DataFrame:
+    """The match table of an earlier day, when matches of odd id were not available yet."""
+    later = F.col("match_id") % 2 == 1
+    return matches.withColumn("match_status_360", F.when(later, "processing").otherwise(F.col("match_status_360")))
+
+
+def _landed(spark: SparkSession, folder: str) -> DataFrame:
+    """The landed events, read through the manifest."""
+    schema = T.StructType([*_feed_schema().fields, T.StructField("match_id", T.LongType())])
+    return scan_landing(spark, folder, schema).select("event_id", "match_id", "event_type", "season_name")
+
+
+def _ingest_first(spark: SparkSession, sf_dir: str) -> str:
+    folder = work_folder(spark, "landing")
+    feed = _as_feed(spark.read.schema(_feed_schema()).parquet(f"{sf_dir}/events.parquet"))
+    ingest(spark, feed, _early_matches(driver_tables.matches(spark, sf_dir)), folder, "event_id")
+    return folder
+
+
 def _ingest_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches to fetch when the events of the first day have landed."""
-    t = driver_tables.open_tables(spark, sf_dir, links=False)
-    landed = t.events.where(F.col("ts") < F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
-    return pending_matches(t.matches, landed).select("match_id", "season_name", "match_status_360")
+    """Matches to fetch after the first run."""
+    folder = _ingest_first(spark, sf_dir)
+    pending = pending_matches(driver_tables.matches(spark, sf_dir), read_manifest(spark, folder))
+    return pending.select("match_id", "season_name", "match_status_360")
+
+
+def _ingest_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of available matches after a second run has fetched the late ones."""
+    folder = _ingest_first(spark, sf_dir)
+    feed = _as_feed(spark.read.schema(_feed_schema()).parquet(f"{sf_dir}/events.parquet"))
+    ingest(spark, feed, driver_tables.matches(spark, sf_dir), folder, "event_id")
+    return _landed(spark, folder)
+
+
+def _streamed(spark: SparkSession, sf_dir: str, matches: DataFrame) -> str:
+    folder = work_folder(spark, "landing")
+    # As a pattern the path may be a folder or, which a stream's plain path may not, one file.
+    feed = spark.readStream.schema(_feed_schema()).parquet(f"{sf_dir}/events.parque[t]")
+    land_available(_as_feed(feed), matches, folder, "event_id")
+    return folder
 
 
 def _stream_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of available matches after the streaming ingest has caught up."""
-    folder = work_folder(spark, "landing")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    feed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _landed(spark, _streamed(spark, sf_dir, driver_tables.matches(spark, sf_dir)))
+
+
+def _stream_then_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same when matches that became available after their file had passed are ingested later."""
     matches = driver_tables.matches(spark, sf_dir)
-    land_available(feed.withColumnRenamed("user_id", "match_id"), matches, folder)
-    return spark.read.parquet(f"{folder}/events").select(
-        "event_id", "match_id", "event_type", "season_name"
-    )
+    folder = _streamed(spark, sf_dir, _early_matches(matches))
+    feed = _as_feed(spark.read.schema(_feed_schema()).parquet(f"{sf_dir}/events.parquet"))
+    ingest(spark, feed, matches, folder, "event_id")
+    return _landed(spark, folder)
 
 
 def _materialize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +234,9 @@ def queries() -> dict[str, Query]:
         "scan_events": _linked(lambda t: _xy(t.events)),
         "materialize_roundtrip": _materialize_roundtrip,
         "ingest_pending_matches": _ingest_pending,
+        "ingest_landing": _ingest_landing,
         "stream_landing": _stream_landing,
+        "stream_then_ingest": _stream_then_ingest,
         "dim_zones": _unlinked(spatial.dim_zones),
         "project_any_of": _project_any_of,
         "cast_flags": _cast_flags,

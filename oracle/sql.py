@@ -19,13 +19,13 @@ nat AS (
          THEN 'Club ' || n_name ELSE n_name END AS n_name
   FROM nation),
 raw AS (
-  SELECT event_id AS id, user_id AS match_id, ts, CAST(extract(day FROM ts) AS INTEGER) AS possession,
+  SELECT event_id AS id, CASE WHEN user_id % 23 = 0 THEN -user_id ELSE user_id END AS match_id, user_id, ts, CAST(extract(day FROM ts) AS INTEGER) AS possession,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value,
          event_type = 'click' AS is_corner, event_type = 'purchase' AS is_shot
   FROM events),
 ev AS (
   SELECT raw.id, match_id, ts, possession,
-    CAST((match_id * 3 + (possession % 2) * 7) % 25 AS INTEGER) AS team_id,
+    CAST((user_id * 3 + (possession % 2) * 7) % 25 AS INTEGER) AS team_id,
     nat.n_name AS team_name,
     CAST(id % 90 AS INTEGER) AS minute, CAST(id % 60 AS INTEGER) AS second,
     CASE WHEN id % 37 <> 0 THEN 'P' || CAST(id % 37 AS VARCHAR) END AS player_name,
@@ -51,7 +51,7 @@ ev AS (
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS key_pass_id,
     CASE WHEN is_corner AND k % 13 <> 0 AND k < 25 THEN 'Corto' WHEN is_corner AND k % 3 = 0 THEN 'Inswinger'
          WHEN is_corner AND k % 3 = 1 THEN 'Outswinger' WHEN is_corner THEN 'Directo/Otro' END AS tipo_cobro
-  FROM raw LEFT JOIN nat ON nat.n_nationkey = (match_id * 3 + (possession % 2) * 7) % 25),
+  FROM raw LEFT JOIN nat ON nat.n_nationkey = (user_id * 3 + (possession % 2) * 7) % 25),
 partidos AS (
   SELECT o_orderkey AS match_id, CAST(o_orderdate AS DATE) AS fecha,
     CASE WHEN o_orderkey % 19 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN '2021/2022'
@@ -61,8 +61,7 @@ partidos AS (
     CASE WHEN o_orderkey % 11 = 0 THEN 'processing' WHEN o_orderkey % 13 = 0 THEN NULL
          ELSE 'available' END AS match_status_360
   FROM orders JOIN nat h ON h.n_nationkey = (o_orderkey * 3) % 25
-              JOIN nat a ON a.n_nationkey = (o_orderkey * 3 + 7) % 25
-  WHERE o_orderkey % 23 <> 0 AND o_orderkey <= (SELECT max(user_id) FROM events)),
+              JOIN nat a ON a.n_nationkey = (o_orderkey * 3 + 7) % 25),
 logos AS (
   SELECT n_name AS team_name, 'img/' || CAST(n_nationkey AS VARCHAR) AS logo_url
   FROM nat WHERE n_nationkey % 9 <> 0),
@@ -336,6 +335,10 @@ def _heat_body(by: str, on: str) -> str:
       FROM densidades JOIN pasos ON {on}"""
 
 
+_LANDED = """SELECT e.event_id, e.user_id AS match_id, e.event_type, p.temporada AS season_name
+    FROM events e JOIN partidos p ON p.match_id = e.user_id
+    WHERE p.match_status_360 = 'available' AND e.user_id % 23 <> 0"""
+
 STATEMENTS: dict[str, str] = {
     # --- scans, sinks, projection ---
     "scan_events": _statement(f"SELECT {_EV_SCALARS} FROM ev"),
@@ -344,13 +347,12 @@ STATEMENTS: dict[str, str] = {
     ),
     "ingest_pending_matches": _statement(
         """SELECT match_id, temporada AS season_name, match_status_360 FROM partidos p
-        WHERE match_status_360 = 'available' AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.match_id = p.match_id
-          AND e.ts < TIMESTAMP '2024-01-02 00:00:00')"""
-    ),
-    "stream_landing": _statement(
-        """SELECT e.event_id, e.user_id AS match_id, e.event_type, p.temporada AS season_name
-        FROM events e JOIN partidos p ON p.match_id = e.user_id WHERE p.match_status_360 = 'available'"""
+        WHERE match_status_360 = 'available'
+          AND (match_id % 2 = 1 OR NOT EXISTS (SELECT 1 FROM ev e WHERE e.match_id = p.match_id))"""
     ),
+    "ingest_landing": _statement(_LANDED),
+    "stream_landing": _statement(_LANDED),
+    "stream_then_ingest": _statement(_LANDED),
     "dim_zones": _statement(
         """SELECT zona_nombre, xmin, xmax, ymin, ymax, (xmin + xmax) / 2 AS centro_x, (ymin + ymax) / 2 AS centro_y,
         n AS total_en_zona FROM zonas LEFT JOIN (SELECT zona_nombre, count(*) AS n FROM en_zona GROUP BY 1)

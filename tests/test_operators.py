@@ -230,7 +230,7 @@ def test_events_of_an_unfinished_run_stay_invisible(spark, tmp_path):
     feed, matches = feed_and_matches(spark)
     folder = str(tmp_path / "landing")
     half = feed.where("match_id = 2").withColumn("season_name", F.lit("2023/2024"))
-    write_by_season(half, f"{folder}/events/run=lost", ["match_id", "id"])
+    write_by_season(half, f"{folder}/events/run=lost/batch=0", ["match_id", "id"])
     landing.ingest(spark, feed, matches, folder)
     assert rows(landing.scan_landing(spark, folder, feed.schema), "id") == [("e0",), ("e1",), ("e2",)]
 
@@ -241,7 +241,7 @@ def test_streaming_landing_processes_each_file_once(spark, tmp_path):
 
     def run():
         land_available(spark.readStream.schema(feed.schema).parquet(inbox), matches, folder)
-        return spark.read.parquet(f"{folder}/events").count()
+        return landing.scan_landing(spark, folder, feed.schema).count()
 
     feed.where("match_id < 2").write.mode("append").parquet(inbox)
     assert run() == 2
@@ -250,6 +250,35 @@ def test_streaming_landing_processes_each_file_once(spark, tmp_path):
     assert run() == 3
 
 
+def test_a_late_match_is_fetched_after_the_stream(spark, tmp_path):
+    feed, matches = feed_and_matches(spark)
+    inbox, folder = str(tmp_path / "inbox"), str(tmp_path / "landed")
+    feed.write.parquet(inbox)
+    land_available(spark.readStream.schema(feed.schema).parquet(inbox), matches, folder)
+    assert landing.scan_landing(spark, folder, feed.schema).count() == 3
+    now_there = matches.replace({"processing": "available"}, subset=["match_status_360"])
+    landing.ingest(spark, feed, now_there, folder)
+    assert rows(landing.scan_landing(spark, folder, feed.schema), "match_id") == [(1,), (1,), (2,), (3,)]
+
+
+def test_overlapping_runs_do_not_double_a_match(spark, tmp_path):
+    feed, matches = feed_and_matches(spark)
+    folder = str(tmp_path / "landing")
+    listed = feed.join(matches.where("match_status_360 = 'available'").select("match_id", "season_name"), "match_id")
+    for run in ("a", "b"):  # both read the manifest before either wrote it
+        landing.land(listed, folder, run, 0)
+    assert rows(landing.scan_landing(spark, folder, feed.schema), "id") == [("e0",), ("e1",), ("e2",)]
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    feed, matches = feed_and_matches(spark)
+    folder = str(tmp_path / "landing")
+    listed = feed.join(matches.select("match_id", "season_name"), "match_id").where("match_id < 3")
+    for _ in range(2):
+        landing.land(listed, folder, "stream", 4)
+    assert landing.scan_landing(spark, folder, feed.schema).count() == 3
+
+
 def test_season_layout_spreads_a_hot_match(spark, tmp_path):
     events = spark.range(40_000).select(
         F.col("id").cast("string").alias("id"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -18,7 +16,6 @@ RECOMMENDED_CONF = {
     # Recording the Python line of every column doubles the time to build a plan.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 
@@ -42,13 +39,13 @@ def build_session(app_name: str = "touchline", master: str | None = None, **conf
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new sub-folder of the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting (tests, bench) may use a
-    temporary folder of its own: there the driver machine is the only machine.
+    Only a local-mode session without that setting (tests, bench) gets a folder of its
+    own, next to the session's warehouse: there the driver machine is the only machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="touchline-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/touchline-work"
         spark.conf.set("spark.checkpoint.dir", shared)
-    return os.path.join(shared, f"{name}-{uuid.uuid4().hex}")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -6,8 +6,6 @@ Parquet files of any size.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +29,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a match, most of them without events."""
     orders = _read(spark, sf_dir, "orders")
-    events = _read(spark, sf_dir, "events")
     nation = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), "n_name")
     key = F.col("o_orderkey")
     season = (
@@ -46,8 +44,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = nation.select(F.col("k").alias("home"), F.col("n_name").alias("home_team_name"))
     away = nation.select(F.col("k").alias("away"), F.col("n_name").alias("away_team_name"))
     return (
-        orders.where((key % 23 != 0) & (key <= events.select(F.max("user_id")).scalar()))
-        .select(
+        orders.select(
             key.alias("match_id"),
             F.col("o_orderdate").cast("date").alias("match_date"),
             season.alias("season_name"),
@@ -72,6 +69,11 @@ def match_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def match_of_event():
+    """The event's match; some events name a match that no order has."""
+    return F.when(F.col("user_id") % 23 == 0, -F.col("user_id")).otherwise(F.col("user_id"))
+
+
 def _k():
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -136,7 +138,7 @@ def _events_of(raw: DataFrame, kind: dict) -> DataFrame:
     player = F.concat(F.lit("P"), (event_id % 37).cast("string"))
     return raw.select(
         event_id.alias("id"),
-        user_id.alias("match_id"),
+        match_of_event().alias("match_id"),
         "ts",
         day.alias("possession"),
         ((user_id * 3 + (day % 2) * 7) % 25).cast("int").alias("team_id"),
@@ -160,7 +162,7 @@ def _key_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _read(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
     rows = raw.select(
         F.col("event_id").alias("id"),
-        F.col("user_id").alias("match_id"),
+        match_of_event().alias("match_id"),
         F.dayofmonth("ts").alias("possession"),
         F.date_trunc("minute", F.col("ts")).alias("at_minute"),
         "ts",
@@ -215,10 +217,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every team; some have no badge."""
     key = F.col("n_nationkey")
-    return _read(spark, sf_dir, "nation").where(key % 9 != 0).select(
-        F.col("n_name").alias("team_name"), F.concat(F.lit("img/"), key.cast("string")).alias("logo_url")
-    )
+    url = F.when(key % 9 != 0, F.concat(F.lit("img/"), key.cast("string")))
+    return _read(spark, sf_dir, "nation").select(F.col("n_name").alias("team_name"), url.alias("logo_url"))
 
 
 def raw_tables(spark: SparkSession, sf_dir: str, links: bool = True) -> EventTables:
@@ -231,7 +233,6 @@ def raw_tables(spark: SparkSession, sf_dir: str, links: bool = True) -> EventTab
     )
 
 
-@lru_cache(maxsize=16)
 def open_tables(spark: SparkSession, sf_dir: str, links: bool = True) -> EventTables:
-    """The bound tables; the lazy plans (no data) are kept per session and folder."""
+    """The bound tables, over the files that are there now."""
     return raw_tables(spark, sf_dir, links).harmonized(TEAM_NAMES)

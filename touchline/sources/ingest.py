@@ -1,9 +1,10 @@
 """Incremental, idempotent landing of the events of newly available matches.
 
-A landing folder holds ``events/run=<id>/season_name=<s>/`` and ``manifest/``
-(run, match_id). A match counts as landed once the manifest names it, and only
-manifest rows are read back, so a run that dies half-way leaves nothing visible
-and its matches are simply taken again by the next run.
+A landing folder holds ``events/run=<id>/batch=<n>/season_name=<s>/`` and
+``manifest/run=<id>/batch=<n>/`` (match_id). A match counts as landed once the manifest
+names it, and only what the manifest names is read back, so a run that dies half-way leaves
+nothing visible and its matches are simply taken again by the next run. If runs that overlap
+land a match twice, readers take it from the run of the smallest id.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 from touchline import schema as S
 from touchline.sources.tables import write_by_season
 
+_MANIFEST = "match_id bigint, run string, batch bigint"
+
 
 def pending_matches(matches: DataFrame, landed: DataFrame | None) -> DataFrame:
     """Matches whose positions are available and that have not landed yet; an
@@ -29,16 +32,25 @@ def pending_matches(matches: DataFrame, landed: DataFrame | None) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, landing: str) -> DataFrame | None:
-    """(run, match_id) of everything landed; None before the first run."""
+    """(match_id, run, batch) of everything landed; None before the first run."""
     try:
-        return spark.read.schema("run string, match_id bigint").parquet(f"{landing}/manifest")
+        return spark.read.schema(_MANIFEST).parquet(f"{landing}/manifest")
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def ingest(spark: SparkSession, feed: DataFrame, matches: DataFrame, landing: str) -> str:
+def land(events: DataFrame, landing: str, run: str, batch: int, id_col: str = "id") -> None:
+    """Write one batch of a run (match_id, season_name, ...), then name its matches in
+    the manifest. Repeating a batch replaces it."""
+    spark, part = events.sparkSession, f"run={run}/batch={batch}"
+    write_by_season(events, f"{landing}/events/{part}", ["match_id", id_col], "overwrite")
+    landed = spark.read.schema("match_id bigint").parquet(f"{landing}/events/{part}").distinct()
+    landed.write.mode("overwrite").parquet(f"{landing}/manifest/{part}")
+
+
+def ingest(spark: SparkSession, feed: DataFrame, matches: DataFrame, landing: str, id_col: str = "id") -> str:
     """Append the feed's events of all pending matches; returns the run id.
 
     A match the feed cannot deliver yet contributes no rows, does not stop the
@@ -46,17 +58,19 @@ def ingest(spark: SparkSession, feed: DataFrame, matches: DataFrame, landing: st
     """
     run = uuid.uuid4().hex
     pending = pending_matches(matches, read_manifest(spark, landing))
-    new_events = feed.join(pending.select("match_id", "season_name"), "match_id", "inner")
-    folder = f"{landing}/events/run={run}"
-    write_by_season(new_events, folder, ["match_id", "id"])
-    landed = spark.read.schema("match_id bigint").parquet(folder).distinct()
-    landed.select(F.lit(run).alias("run"), "match_id").write.mode("append").parquet(f"{landing}/manifest")
+    land(feed.join(pending.select("match_id", "season_name"), "match_id", "inner"), landing, run, 0, id_col)
     return run
 
 
 def scan_landing(spark: SparkSession, landing: str, schema: T.StructType = S.EVENTS) -> DataFrame:
     """All landed events (``schema`` plus ``season_name``); a season filter prunes folders."""
-    folders = [T.StructField("run", T.StringType()), T.StructField("season_name", T.StringType())]
+    folders = [
+        T.StructField("run", T.StringType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("season_name", T.StringType()),
+    ]
     events = spark.read.schema(T.StructType([*schema.fields, *folders])).parquet(f"{landing}/events")
-    manifest = spark.read.schema("run string, match_id bigint").parquet(f"{landing}/manifest")
-    return events.join(manifest, ["run", "match_id"], "left_semi").drop("run")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{landing}/manifest")
+    owner = manifest.groupBy("match_id").agg(F.min("run").alias("run"))
+    visible = manifest.join(owner, ["match_id", "run"], "left_semi")
+    return events.join(visible, ["run", "batch", "match_id"], "left_semi").drop("run", "batch")
