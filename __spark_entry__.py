@@ -108,7 +108,8 @@ def _harmonize_names(t: EventTables) -> DataFrame:
 
 
 def _facet_counts(t: EventTables) -> DataFrame:
-    titled = occupancy.facet_counts(corners.enriched_shots(t), ["categoria_atacantes"], "Remates")
+    counts = occupancy.level_counts(t)
+    titled = occupancy.facet_titles(corners.enriched_shots(t), counts, ["categoria_atacantes"], "Remates")
     return titled.select("id", "categoria_atacantes", "n", "titulo_facet")
 
 

@@ -18,7 +18,7 @@ from touchline.functions.labels import (
     two_digits,
 )
 from touchline.functions.nulls import mean_of, strict_sum, sum_or_zero
-from touchline.operators.density import contour_levels, kernel_density
+from touchline.operators.density import kernel_density, pretty_step, quartiles
 from touchline.operators.relational import across, any_of, cast_flags, null_safe_left, selector_domain
 from touchline.operators.sequences import flag_followed
 from touchline.operators.zones import assign_zones
@@ -155,13 +155,20 @@ def test_density_equals_direct_sum(spark):
     assert at[(100.0, 20.0)] == pytest.approx(expected)
 
 
-def test_contour_levels_are_round_breaks(spark):
-    grid = spark.createDataFrame([("p", 0.0), ("p", 0.0131), ("p", 0.0249)], "panel string, densidad double")
-    # The range 0..0.0249 in about ten steps: 0.002.
-    expected = [0.0, 0.012, 0.024]
-    for panel in (["panel"], []):
-        got = [r.nivel for r in contour_levels(grid, panel).orderBy("densidad").collect()]
-        assert got == pytest.approx(expected)
+def test_contour_steps_are_round(spark):
+    ranges = spark.createDataFrame([(0.0, 0.0249, 0.002), (0.0, 1.0, 0.1), (1.0, 1.0, None)], "a double, b double, step double")
+    for r in ranges.withColumn("got", pretty_step(F.col("a"), F.col("b"))).collect():
+        assert r.got == (pytest.approx(r.step) if r.step else None)
+
+
+def test_quartiles_equal_the_exact_percentile(spark):
+    rng = np.random.default_rng(8)
+    values = [("A", float(v), int(w)) for v, w in zip(rng.normal(60, 30, 400), rng.integers(1, 5, 400))]
+    values += [("B", 3.0, 1), ("C", 7.0, 5), ("D", 1.0, 1), ("D", 2.0, 1), ("E", -50.0, 2), ("E", 500.0, 1)]
+    bins = spark.createDataFrame(values, "g string, v double, w long")
+    wanted = bins.groupBy("g").agg(F.percentile("v", [0.25, 0.75], F.col("w")).alias("q"))
+    got = {r.g: (r.q1, r.q3) for r in quartiles(bins, ["g"], "v", "w", 0.0, 120.0).collect()}
+    assert got == {r.g: pytest.approx(tuple(r.q)) for r in wanted.collect()}
 
 
 def test_catalogue(spark):

@@ -74,20 +74,52 @@ def test_sequence_goals_shrink_before_the_join(feed):
     assert re.search(r"Join LeftOuter", plan) and "max(ts" in plan
 
 
-def test_only_the_level_counts_are_hinted():
-    """Other joins leave the choice of a broadcast to Spark's size estimates."""
+def test_only_small_counts_are_hinted():
+    """One row per level or per panel; other joins leave the choice to Spark's size estimates."""
     from pathlib import Path
 
-    files = Path(corners.__file__).parents[1].rglob("*.py")
-    assert [f.name for f in files if "broadcast(" in f.read_text()] == ["occupancy.py"]
+    files = [f for f in Path(corners.__file__).parents[1].rglob("*.py") if "llm" not in f.parts]
+    assert sorted(f.name for f in files if "broadcast(" in f.read_text()) == ["density.py", "occupancy.py"]
+
+
+def executed(df) -> str:
+    """The final adaptive plan; the query runs."""
+    execution = df._jdf.queryExecution()
+    execution.executedPlan().execute().count()
+    return execution.executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("key", ["delivery_heatmap", "delivery_heatmap_by_season"])
+def test_kernel_sums_are_evaluated_once(spark, sf_dir, key):
+    """Contour range and cells share the exchange of each kernel sum."""
+    plan = executed(registry.queries()[key](spark, sf_dir))
+    partial = re.findall(r"HashAggregate\(keys=\[[^]]*block[^]]*\], functions=\[partial_sum", plan)
+    assert len(partial) == 2 and "ReusedExchange" in plan and "percentile" not in plan
 
 
 def test_titles_do_not_shuffle_the_shots(spark, sf_dir):
     shots = spark.range(10).selectExpr("id", "'0 Atacantes' AS categoria_atacantes")
-    plan = occupancy.facet_counts(shots, ["categoria_atacantes"], "Remates")
+    counts = shots.groupBy("categoria_atacantes").count().withColumnRenamed("count", "n")
+    plan = occupancy.facet_titles(shots, counts, ["categoria_atacantes"], "Remates")
     assert plan_of(plan).count("Exchange hashpartitioning") <= 1
 
 
+def test_unknown_level_has_its_title(spark):
+    shots = spark.createDataFrame([(1, None), (2, "0 Atacantes"), (3, None)], "id long, categoria_atacantes string")
+    counts = shots.groupBy("categoria_atacantes").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
+    titled = occupancy.facet_titles(shots, counts, ["categoria_atacantes"], "Remates")
+    assert {r.id: (r.n, r.titulo_facet) for r in titled.collect()} == {
+        1: (2, "NA\n(N = 2 Remates)"), 2: (1, "0 Atacantes\n(N = 1 Remates)"), 3: (2, "NA\n(N = 2 Remates)"),
+    }
+
+
+def test_frames_are_cut_down_before_they_are_exploded(spark, sf_dir):
+    t = driver_tables.open_tables(spark, sf_dir)
+    plan = corners.box_occupancy(t)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Generate explode") :]
+    assert re.search(r"Join LeftSemi", below[: below.index("l_orderkey")])
+
+
 def test_hot_possession_is_spread(spark, feed):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -108,10 +108,12 @@ def frame_counts(frames: DataFrame) -> DataFrame:
 def count_box_attackers(corner_shots: DataFrame, t: EventTables) -> DataFrame:
     """Attach PLAYERS and ATTACKERS; a shot without any player has 0 and NULL.
 
-    Nested frames are counted in place, without explode or exchange.
+    Nested frames are counted in place, without explode or exchange. Frames delivered
+    apart are first cut down to those of the shots.
     """
     if t.frames is not None:
-        counted = corner_shots.join(frame_counts(t.frames), "id", "left")
+        wanted = t.frames.join(corner_shots.select("id"), "id", "left_semi")
+        counted = corner_shots.join(frame_counts(wanted), "id", "left")
         return counted.withColumn(PLAYERS, F.coalesce(PLAYERS, F.lit(0)))
     flags = F.transform("freeze_frame", attacker_in_six_yard_box)
     unknown = F.exists(flags, lambda f: f.isNull())
@@ -153,15 +155,16 @@ def _with_level(df: DataFrame) -> DataFrame:
     )
 
 
-def box_occupancy(t: EventTables) -> DataFrame:
-    """Box attackers and goal flag per corner shot with at least one player."""
+def box_occupancy(t: EventTables, *more: str) -> DataFrame:
+    """Box attackers and goal flag per corner shot with at least one player; ``more`` names
+    further columns of the shot."""
     seen = of_corners(counted_shots(t).where(F.col(PLAYERS) > 0), t)
-    return seen.select("id", ATTACKERS, is_goal().alias("fue_gol"))
+    return seen.select("id", *more, ATTACKERS, is_goal().alias("fue_gol"))
 
 
-def occupancy_category(t: EventTables) -> DataFrame:
+def occupancy_category(t: EventTables, *more: str) -> DataFrame:
     """``box_occupancy`` with the occupancy level (label and ordinal)."""
-    return _with_level(box_occupancy(t))
+    return _with_level(box_occupancy(t, *more))
 
 
 def shots_with_category(t: EventTables) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.labels import paste, percent_text, shot_tooltip
 from touchline.functions.nulls import count_true, ratio, strict_sum, sum_or_zero
-from touchline.operators.relational import for_season, longer
+from touchline.operators.relational import for_season, longer, null_safe_left
 from touchline.plans.corners import (
     enriched_shots,
     occupancy_category,
@@ -102,37 +102,51 @@ def goal_rate_by_season(t: EventTables) -> DataFrame:
     return totals.withColumn("tasa_de_gol", rate).withColumn("etiqueta", percent_text(rate))
 
 
-def facet_counts(shots: DataFrame, by: list[str], noun: str) -> DataFrame:
-    """Attach the size of each shot's group and the facet title.
+def level_counts(t: EventTables, season: str | None = None, by_season: bool = False, goals: bool = False) -> DataFrame:
+    """Number of ``enriched_shots`` (or goals among them) per level, and per known season.
 
-    The counts come from a grouping with partial aggregation joined back on its
-    few keys; a window over the rows would pull a whole level into one task.
-    Grouped by level alone the counts have at most one row per level and one for
-    the unknown level, so they are broadcast and the shots stay where they are;
-    with other keys Spark decides by size.
+    Counted on the few columns it takes, below the joins that bring the taker and the
+    match; shots shrink to one row per match and level before they meet the seasons.
+    """
+    shots = occupancy_category(t, "match_id").where(F.col("categoria_atacantes").isNotNull())
+    if goals:
+        shots = shots.where("fue_gol")
+    if season is None and not by_season:
+        return shots.groupBy("categoria_atacantes").agg(F.count("*").alias("n"))
+    counts = sums_by_season(shots, t, {"n": F.count("*")}, ["categoria_atacantes"])
+    if by_season:
+        return counts.where(F.col("temporada").isNotNull())
+    return for_season(counts, season).drop("temporada")
+
+
+def facet_titles(shots: DataFrame, counts: DataFrame, by: list[str], noun: str) -> DataFrame:
+    """Attach the size of each shot's group (``counts``: by, n) and the facet title.
+
+    An unknown level or season is a group like any other. Counts by level alone have at most six
+    rows, so they are broadcast and the shots stay where they are; with other keys Spark decides by size.
     """
-    counts = shots.groupBy(*by).agg(F.count("*").alias("n"))
     if set(by) <= set(LEVEL):
         counts = F.broadcast(counts)
-    return shots.join(counts, by, "left").withColumn(
+    return null_safe_left(shots, counts, by).withColumn(
         "titulo_facet", paste(F.col("categoria_atacantes"), "\n(N = ", F.col("n"), f" {noun})")
     )
 
 
-def _tooltips(shots: DataFrame, by: list[str], goals: bool) -> DataFrame:
-    titled = facet_counts(shots, by, "Goles" if goals else "Remates")
+def _tooltips(shots: DataFrame, counts: DataFrame, by: list[str], goals: bool) -> DataFrame:
+    titled = facet_titles(shots, counts, by, "Goles" if goals else "Remates")
     return titled.withColumn("tooltip_text", shot_tooltip(goal=goals))
 
 
 def shot_tooltips(t: EventTables, season: str | None = None) -> DataFrame:
     """Delivery segments of shots with facet title and hover text (section 2)."""
-    return _tooltips(for_season(enriched_shots(t), season), ["categoria_atacantes"], goals=False)
+    shots = for_season(enriched_shots(t), season)
+    return _tooltips(shots, level_counts(t, season), ["categoria_atacantes"], goals=False)
 
 
 def goal_tooltips(t: EventTables, season: str | None = None) -> DataFrame:
     """The same for goals (section 3)."""
     goals = for_season(enriched_shots(t).where("fue_gol"), season)
-    return _tooltips(goals, ["categoria_atacantes"], goals=True)
+    return _tooltips(goals, level_counts(t, season, goals=True), ["categoria_atacantes"], goals=True)
 
 
 def shot_tooltips_by_season(t: EventTables, goals: bool = False) -> DataFrame:
@@ -140,4 +154,5 @@ def shot_tooltips_by_season(t: EventTables, goals: bool = False) -> DataFrame:
     shots = enriched_shots(t).where(F.col("temporada").isNotNull())
     if goals:
         shots = shots.where("fue_gol")
-    return _tooltips(shots, ["temporada", "categoria_atacantes"], goals)
+    counts = level_counts(t, by_season=True, goals=goals)
+    return _tooltips(shots, counts, ["temporada", "categoria_atacantes"], goals)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline import schema as S
-from touchline.operators.density import contour_levels, kernel_density
+from touchline.operators.density import contour_grid
 from touchline.operators.relational import for_season, with_logo
 from touchline.operators.zones import assign_zones
 from touchline.plans.corners import corner_table, season_of_match, sums_by_season, with_season
@@ -37,8 +37,8 @@ def delivery_heatmap(
     if by_season:
         by, panel = ["temporada", "team_name"], ["temporada"]
         points = with_logo(points, t.logos).drop("logo_url")
-        return contour_levels(kernel_density(points, by, cells=cells), panel)
-    return contour_levels(kernel_density(points, ["team_name"], cells=cells), [])
+        return contour_grid(points, by, panel, cells=cells)
+    return contour_grid(points, ["team_name"], [], cells=cells)
 
 
 def zone_assignment(t: EventTables) -> DataFrame:
