@@ -6,6 +6,7 @@ Every query reads the whole driver tables through ``touchline.sources.driver_tab
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +17,13 @@ from oracle.sql import CELLS, SEASON, TEAM, TEAM_PATTERN
 from touchline import schema as S
 from touchline.functions.corner import coordinate
 from touchline.functions.labels import percent_label, percent_text, safe_name
-from touchline.operators.relational import any_of, cast_flags, for_season
+from touchline.operators.relational import any_of, cast_flags, first_rows, for_season
 from touchline.plans import checks, corners, delivery, dependence, occupancy, ratios, spatial
 from touchline.plans.marts import write_marts
 from touchline.session import work_folder
 from touchline.sources import driver_tables
 from touchline.sources.ingest import ingest, pending_matches, read_manifest, scan_landing
-from touchline.sources.tables import EventTables
+from touchline.sources.tables import EventTables, catalog_entries, scan_events, write_by_season, write_feed
 from touchline.streaming.landing import land_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,7 +84,7 @@ def _shot_to_corner(t: EventTables) -> DataFrame:
 
 
 def _season_filter(t: EventTables) -> DataFrame:
-    seasoned = corners.with_season(corners.corner_events(t), t)
+    seasoned = corners.with_season(corners.corner_events(t), t, "id")
     return for_season(seasoned, SEASON).select("id", "match_id", "team_name", "temporada")
 
 
@@ -93,7 +94,7 @@ def _team_regex_filter(t: EventTables) -> DataFrame:
 
 
 def _events_with_season(t: EventTables) -> DataFrame:
-    return corners.with_season(t.events.select("id", "match_id", "type_name", "team_name"), t)
+    return corners.with_season(t.events.select("id", "match_id", "type_name", "team_name"), t, "id")
 
 
 def _distinct_team_season(t: EventTables) -> DataFrame:
@@ -216,6 +217,41 @@ def _materialize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/corner_outcomes")
 
 
+def _feed_tables(spark: SparkSession, sf_dir: str) -> EventTables:
+    """Tables over feed files: dotted names, nested players, several files."""
+    folder = work_folder(spark, "feed")
+    write_feed(driver_tables.nested_events(spark, sf_dir), folder)
+    raw = replace(driver_tables.raw_tables(spark, sf_dir), events=scan_events(spark, folder), frames=None)
+    return raw.harmonized(driver_tables.TEAM_NAMES)
+
+
+def _feed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feed_tables(spark, sf_dir).events.select(
+        "id", "match_id", "team_name", "type_name", "pass_type", "key_pass_id", "xg", "shot_outcome",
+        F.size("freeze_frame").alias("jugadores"),
+    )
+
+
+def _season_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one season read back from season folders."""
+    t = driver_tables.open_tables(spark, sf_dir, links=False)
+    folder = work_folder(spark, "seasons")
+    events = corners.with_season(t.events.select("id", "match_id", "type_name"), t, "id")
+    write_by_season(events.withColumnRenamed("temporada", "season_name"), folder, ["match_id", "id"])
+    back = spark.read.schema("id bigint, match_id bigint, type_name string, season_name string").parquet(folder)
+    return for_season(back, SEASON, "season_name")
+
+
+def _first_corners(t: EventTables) -> DataFrame:
+    columns = corners.corner_events(t).select("id", "match_id", "ts", "team_name")
+    return first_rows(columns, ["match_id", "ts", "id"], 25)
+
+
+def _catalogue_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seasons = catalog_entries(driver_tables.catalogue(spark, sf_dir), "1-URGENT", "F")
+    return seasons.withColumn("season_id", F.col("season_id").cast("long"))
+
+
 def _project_any_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return any_of(driver_tables.match_flags(spark, sf_dir), S.MATCH_KEEP)
 
@@ -238,6 +274,12 @@ def queries() -> dict[str, Query]:
         "ingest_landing": _ingest_landing,
         "stream_landing": _stream_landing,
         "stream_then_ingest": _stream_then_ingest,
+        "feed_scan": _feed_scan,
+        "box_occupancy_nested": lambda spark, sf_dir: corners.box_occupancy(_feed_tables(spark, sf_dir)),
+        "corner_outcomes_nested": lambda spark, sf_dir: corners.corner_outcomes(_feed_tables(spark, sf_dir)),
+        "season_roundtrip": _season_roundtrip,
+        "catalogue_seasons": _catalogue_seasons,
+        "first_corners": _unlinked(_first_corners),
         "dim_zones": _unlinked(spatial.dim_zones),
         "project_any_of": _project_any_of,
         "cast_flags": _cast_flags,
@@ -301,11 +343,16 @@ def queries() -> dict[str, Query]:
         ),
         "zone_assignment": _unlinked(_zone_assignment),
         "zone_map": _unlinked(lambda t: spatial.zone_map(t, TEAM)),
+        "zone_map_of_no_team": _unlinked(lambda t: spatial.zone_map(t, "No such team")),
         "zone_counts": _unlinked(spatial.zone_counts),
         # ratios
         "corners_per_goal": _linked(ratios.corners_per_goal),
         "corners_per_goal_one_season": _linked(lambda t: ratios.corners_per_goal(t, SEASON)),
         "corners_per_goal_by_season": _linked(ratios.corners_per_goal_by_season),
+        "corners_per_goal_ranked": _linked(lambda t: ratios.ranked_ratios(ratios.corners_per_goal(t))),
+        "corners_per_sequence_goal_ranked": _unlinked(
+            lambda t: ratios.ranked_ratios(ratios.corners_per_sequence_goal(t))
+        ),
         "goal_sequences": _unlinked(ratios.goal_sequences),
         "corners_per_sequence_goal": _unlinked(ratios.corners_per_sequence_goal),
         "corners_per_sequence_goal_one_season": _unlinked(lambda t: ratios.corners_per_sequence_goal(t, SEASON)),

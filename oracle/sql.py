@@ -335,6 +335,17 @@ def _heat_body(by: str, on: str) -> str:
       FROM densidades JOIN pasos ON {on}"""
 
 
+_NESTED = (
+    """jugadores_n AS (
+      SELECT e.id, i, 108 + (id * 5 + i * 3) % 13 >= 114 AND (id + i) % 3 <> 0
+        AND CASE WHEN (id + i) % 31 <> 0 THEN 25 + (id * 7 + i * 11) % 31 BETWEEN 30 AND 50 END AS dentro
+      FROM ev e, unnest(range(1, e.id % 6 + 1)) AS u(i) WHERE e.has_frame)""",
+    """conteo_n AS (
+      SELECT r.id, CASE WHEN count(*) FILTER (j.dentro IS NULL) = 0 THEN count(*) FILTER (j.dentro) END
+          AS atacantes_en_area_chica, any_value(r.shot_outcome) = 'Goal' AS fue_gol
+      FROM remates r JOIN jugadores_n j ON j.id = r.id GROUP BY r.id)""",
+)
+
 _LANDED = """SELECT e.event_id, e.user_id AS match_id, e.event_type, p.temporada AS season_name
     FROM events e JOIN partidos p ON p.match_id = e.user_id
     WHERE p.match_status_360 = 'available' AND e.user_id % 23 <> 0"""
@@ -353,6 +364,31 @@ STATEMENTS: dict[str, str] = {
     "ingest_landing": _statement(_LANDED),
     "stream_landing": _statement(_LANDED),
     "stream_then_ingest": _statement(_LANDED),
+    "feed_scan": _statement(
+        """SELECT CAST(id AS VARCHAR) AS id, match_id, team_name, type_name, pass_type,
+          CAST(key_pass_id AS VARCHAR) AS key_pass_id, xg, shot_outcome, CASE WHEN has_frame THEN id % 6 END AS jugadores
+        FROM ev"""
+    ),
+    "box_occupancy_nested": _statement(
+        "SELECT CAST(id AS VARCHAR) AS id, atacantes_en_area_chica, fue_gol FROM conteo_n", *_NESTED
+    ),
+    "corner_outcomes_nested": _statement(
+        """SELECT CAST(k.id AS VARCHAR) AS id, k.match_id, k.team_name, k.tipo_cobro, k.obv_total_net,
+          coalesce(c.fue_gol, FALSE) AS fue_gol, r.id IS NOT NULL AS termino_en_remate
+        FROM corners k LEFT JOIN remates r ON r.key_pass_id = k.id LEFT JOIN conteo_n c ON c.id = r.id""",
+        *_NESTED,
+    ),
+    "season_roundtrip": _statement(
+        f"""SELECT id, match_id, type_name, temporada AS season_name FROM ev JOIN partidos USING (match_id)
+        WHERE temporada = '{SEASON}'"""
+    ),
+    "catalogue_seasons": """SELECT o_orderkey % 7 AS competition_id, o_orderkey AS season_id,
+        o_orderstatus AS competition_name, strftime(o_orderdate, '%Y-%m-%d') AS season_name
+        FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'""",
+    "first_corners": _statement(
+        """SELECT id, match_id, ts, team_name, row_number() OVER (ORDER BY match_id, ts, id) AS puesto
+        FROM corners ORDER BY match_id, ts, id LIMIT 25"""
+    ),
     "dim_zones": _statement(
         """SELECT zona_nombre, xmin, xmax, ymin, ymax, (xmin + xmax) / 2 AS centro_x, (ymin + ymax) / 2 AS centro_y,
         n AS total_en_zona FROM zonas LEFT JOIN (SELECT zona_nombre, count(*) AS n FROM en_zona GROUP BY 1)
@@ -531,6 +567,10 @@ STATEMENTS: dict[str, str] = {
           WHERE team_name = '{TEAM}' GROUP BY ALL) c ON c.zona_nombre = z.zona_nombre
         WHERE EXISTS (SELECT 1 FROM corners WHERE team_name = '{TEAM}')"""
     ),
+    "zone_map_of_no_team": _statement(
+        """SELECT z.*, (xmin + xmax) / 2 AS centro_x, (ymin + ymax) / 2 AS centro_y,
+          NULL AS team_name, NULL AS tipo_cobro, NULL AS total_en_zona FROM zonas z WHERE FALSE"""
+    ),
     "zone_counts": _statement(
         """SELECT z.*, (xmin + xmax) / 2 AS centro_x, (ymin + ymax) / 2 AS centro_y, temporada, team_name,
           tipo_cobro, total_en_zona, logo_url
@@ -629,3 +669,8 @@ STATEMENTS |= {
           AND temporada = '{SEASON}' AND regexp_matches(team_name, '{TEAM_PATTERN}')"""
     ),
 }
+
+for _name in ("corners_per_goal", "corners_per_sequence_goal"):
+    STATEMENTS[f"{_name}_ranked"] = (
+        f"SELECT *, row_number() OVER (ORDER BY corners_por_gol, team_name) AS puesto FROM ({STATEMENTS[_name]})"
+    )

@@ -19,7 +19,7 @@ from touchline.functions.labels import (
 )
 from touchline.functions.nulls import mean_of, strict_sum, sum_or_zero
 from touchline.operators.density import kernel_density, pretty_step, quartiles
-from touchline.operators.relational import across, any_of, cast_flags, null_safe_left, selector_domain
+from touchline.operators.relational import any_of, cast_flags, null_safe_left, selector_domain
 from touchline.operators.sequences import flag_followed
 from touchline.operators.zones import assign_zones
 from touchline.session import work_folder
@@ -78,7 +78,6 @@ def test_projection_helpers(spark):
     assert rows(cast_flags(df, ["odd", "flag", "number", "missing"]), "odd", "flag", "number") == [
         (None, True, True)
     ]
-    assert rows(across(df.select("odd", "number"), "number", "number", lambda c: F.col(c) * 2)) == [("yes", 2)]
 
 
 def test_selector_domain_is_sorted_and_known(spark):

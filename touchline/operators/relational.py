@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,17 +38,21 @@ def cast_flags(df: DataFrame, flags: list[str]) -> DataFrame:
     return df.withColumns({c: as_flag(c) for c in flags if c in types})
 
 
-def across(df: DataFrame, first: str, last: str, expression) -> DataFrame:
-    """Apply ``expression(name)`` to the contiguous columns first..last."""
-    names = df.columns[df.columns.index(first) : df.columns.index(last) + 1]
-    return df.withColumns({name: expression(name) for name in names})
-
-
 def selector_domain(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct known values of a column."""
     return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
+def ranked(df: DataFrame, order: list, into: str = "puesto") -> DataFrame:
+    """Number the rows of a small table (a row per team or season) in a total order."""
+    return df.withColumn(into, F.row_number().over(Window.orderBy(*order)))
+
+
+def first_rows(df: DataFrame, order: list, n: int, into: str = "puesto") -> DataFrame:
+    """The first ``n`` rows in a total order, numbered. Only ``n`` rows per task are kept."""
+    return ranked(df.orderBy(*order).limit(n), order, into)
+
+
 # --- filters ----------------------------------------------------------------
 def for_season(df: DataFrame, season: str | None, column: str = "temporada") -> DataFrame:
     """One season, or everything (unknown seasons included) for ``None``."""

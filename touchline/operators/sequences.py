@@ -5,24 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.skew import salted_join
 
-SALTS = 16
 
-
-def flag_followed(events: DataFrame, targets: DataFrame, keys: list[str], ts: str, into: str) -> DataFrame:
+def flag_followed(
+    events: DataFrame, targets: DataFrame, keys: list[str], ts: str, into: str, spread: str = "id"
+) -> DataFrame:
     """Mark each event for which some target with equal keys has a later ``ts``.
 
     Equals joining all pairs, keeping the later ones and de-duplicating, but a
     later target exists exactly if the last one is later, so the targets shrink
     to one row per key before the join and no pairs are formed.
 
-    A key with very many events is spread over SALTS tasks: the one row of its
-    targets is repeated per salt. AQE alone would not split it, as it leaves
-    joins alone whose other side aggregates between shuffle and join.
+    A key with very many events is spread over tasks by the column ``spread``.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    last = targets.groupBy(*keys).agg(F.max(ts).alias("__last")).withColumn("__salt", salts)
-    salted = events.withColumn("__salt", F.pmod(F.hash(ts), F.lit(SALTS)))
+    last = targets.groupBy(*keys).agg(F.max(ts).alias("__last"))
     followed = F.coalesce(F.col("__last") > F.col(ts), F.lit(False))
-    joined = salted.join(last, [*keys, "__salt"], "left")
-    return joined.withColumn(into, followed).drop("__last", "__salt")
+    return salted_join(events, last, keys, "left", spread).withColumn(into, followed).drop("__last")

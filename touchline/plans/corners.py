@@ -15,6 +15,7 @@ from touchline.functions.corner import (
     occupancy_order,
 )
 from touchline.functions.nulls import count_true
+from touchline.operators.skew import salted_join
 from touchline.plans.stored import stored
 from touchline.sources.tables import EventTables
 
@@ -27,9 +28,12 @@ def season_of_match(t: EventTables) -> DataFrame:
     return t.matches.select("match_id", F.col("season_name").alias("temporada"))
 
 
-def with_season(df: DataFrame, t: EventTables) -> DataFrame:
-    """Attach the season; rows of unlisted matches stay, with NULL."""
-    return df.join(season_of_match(t), "match_id", "left")
+def with_season(df: DataFrame, t: EventTables, spread: str | None = None) -> DataFrame:
+    """Attach the season; rows of unlisted matches stay, with NULL. Rows that were not
+    reduced to a few per match name the column by which a match with very many is ``spread``."""
+    if spread is None:
+        return df.join(season_of_match(t), "match_id", "left")
+    return salted_join(df, season_of_match(t), ["match_id"], "left", spread)
 
 
 def corner_events(t: EventTables) -> DataFrame:
@@ -79,7 +83,7 @@ def linked_shots(t: EventTables) -> DataFrame:
 def of_corners(shots_: DataFrame, t: EventTables) -> DataFrame:
     """The shots whose key pass is a corner."""
     ids = corner_table(t).select(F.col("id").alias("key_pass_id"))
-    return shots_.join(ids, "key_pass_id", "left_semi")
+    return salted_join(shots_, ids, ["key_pass_id"], "left_semi", "id")
 
 
 def corner_assisted_shots(t: EventTables) -> DataFrame:
@@ -194,7 +198,7 @@ def shot_to_corner(shots_: DataFrame, t: EventTables, how: str = "left") -> Data
         "end_x",
         "end_y",
     )
-    return shots_.join(corner, "key_pass_id", how)
+    return salted_join(shots_, corner, ["key_pass_id"], how, "id")
 
 
 @stored
@@ -208,7 +212,7 @@ def enriched_shots(t: EventTables) -> DataFrame:
         F.col("away_team_name").alias("equipo_visitante"),
         F.col("season_name").alias("temporada"),
     )
-    return shot_to_corner(known, t, "inner").join(match, "match_id", "left").select(
+    return salted_join(shot_to_corner(known, t, "inner"), match, ["match_id"], "left", "id").select(
         "id",
         "match_id",
         "key_pass_id",

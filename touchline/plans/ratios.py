@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions.corner import is_goal
 from touchline.functions.labels import two_decimals
 from touchline.functions.nulls import count_true, ratio
-from touchline.operators.relational import decorate_logo, for_season
+from touchline.operators.relational import decorate_logo, for_season, ranked
 from touchline.operators.sequences import flag_followed
 from touchline.plans.corners import ROWS, corner_table, corner_totals, sums_by_season
 from touchline.plans.stored import stored
@@ -98,3 +98,8 @@ def corners_per_sequence_goal_agg(t: EventTables) -> DataFrame:
         F.sum("total_goles_secuencia").alias("total_goles_secuencia"),
     )
     return _ratio_table(totals, "total_goles_secuencia", t).orderBy("corners_por_gol")
+
+
+def ranked_ratios(ratios: DataFrame) -> DataFrame:
+    """A ratio table with each team's place, fewest corners per goal first."""
+    return ranked(ratios, ["corners_por_gol", "team_name"])

@@ -15,12 +15,12 @@ from touchline.sources.tables import EventTables
 
 def corner_end_points(t: EventTables) -> DataFrame:
     """Every corner with delivery type and end point; coordinates may be unknown."""
-    return corner_table(t).select("match_id", "team_name", "tipo_cobro", "end_x", "end_y")
+    return corner_table(t).select("id", "match_id", "team_name", "tipo_cobro", "end_x", "end_y")
 
 
 def delivery_points(t: EventTables, season: str | None = None) -> DataFrame:
     """End point of each corner of known season (section 10)."""
-    points = with_season(corner_end_points(t).where(F.col("end_x").isNotNull()), t)
+    points = with_season(corner_end_points(t).where(F.col("end_x").isNotNull()), t, "id")
     known = points.where(F.col("temporada").isNotNull())
     return for_season(known, season).select("team_name", "temporada", "end_x", "end_y")
 
@@ -43,8 +43,8 @@ def delivery_heatmap(
 
 def zone_assignment(t: EventTables) -> DataFrame:
     """Each corner of known season and end point, once per zone it falls in."""
-    points = with_season(corner_end_points(t).where(F.col("end_x").isNotNull()), t)
-    return assign_zones(points.where(F.col("temporada").isNotNull()))
+    points = with_season(corner_end_points(t).where(F.col("end_x").isNotNull()), t, "id")
+    return assign_zones(points.where(F.col("temporada").isNotNull())).drop("id")
 
 
 def _zone_totals(t: EventTables, team: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.schema import AVAILABLE, CORNER, GOAL, SHOT
+from touchline.schema import AVAILABLE, CORNER, EVENTS, GOAL, SHOT
 from touchline.sources.tables import EventTables
 
 TEAM_NAMES = {f"NATION_{n}": f"Club NATION_{n}" for n in (1, 5, 12)}
@@ -216,6 +216,33 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("id"), F.array(player).alias("freeze_frame"))
 
 
+def nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events in the feed's schema, the players nested in the event: up to five, none
+    (an empty array), or an array that is missing. They are computed per event."""
+    event_id = F.col("id")
+
+    def player(i):
+        x = (108 + (event_id * 5 + i * 3) % 13).cast("double")
+        y = F.when((event_id + i) % 31 != 0, (25 + (event_id * 7 + i * 11) % 31).cast("double"))
+        return F.struct(F.array(x, y).alias("location"), ((event_id + i) % 3 != 0).alias("teammate"))
+
+    players = F.transform(F.slice(F.array(*map(F.lit, range(1, 6))), F.lit(1), (event_id % 6).cast("int")), player)
+    framed = events(spark, sf_dir).withColumn("freeze_frame", F.when(F.col("has_frame"), players))
+    return framed.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in EVENTS))
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as seasons of a provider's catalogue."""
+    key = F.col("o_orderkey")
+    return _read(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("country_name"),
+        F.col("o_orderstatus").alias("competition_name"),
+        (key % 7).alias("competition_id"),
+        key.alias("season_id"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("season_name"),
+    )
+
+
 def logos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for every team; some have no badge."""
     key = F.col("n_nationkey")

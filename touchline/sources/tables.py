@@ -93,6 +93,12 @@ def catalog_entries(catalog: DataFrame, country: str, competition: str) -> DataF
     )
 
 
+def write_feed(events: DataFrame, path: str, columns: dict[str, str] = S.EVENT_COLUMNS) -> None:
+    """Write events under the column names of the feed, for ``scan_events``."""
+    source_of = {canonical: source for source, canonical in columns.items()}
+    write_table(rename_columns(events, source_of), path)
+
+
 # --- sinks -------------------------------------------------------------------
 def write_by_season(df: DataFrame, path: str, order: list[str], mode: str = "append") -> None:
     """Write one folder per season. Rows are range-partitioned on the season and
