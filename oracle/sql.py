@@ -19,7 +19,7 @@ nat AS (
          THEN 'Club ' || n_name ELSE n_name END AS n_name
   FROM nation),
 raw AS (
-  SELECT event_id AS id, CASE WHEN user_id % 23 = 0 THEN -user_id ELSE user_id END AS match_id, user_id, ts, CAST(extract(day FROM ts) AS INTEGER) AS possession,
+  SELECT event_id AS id, CASE WHEN user_id % 9 = 4 THEN -user_id ELSE user_id END AS match_id, user_id, ts, CAST(extract(day FROM ts) AS INTEGER) AS possession,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value,
          event_type = 'click' AS is_corner, event_type = 'purchase' AS is_shot
   FROM events),
@@ -348,7 +348,7 @@ _NESTED = (
 
 _LANDED = """SELECT e.event_id, e.user_id AS match_id, e.event_type, p.temporada AS season_name
     FROM events e JOIN partidos p ON p.match_id = e.user_id
-    WHERE p.match_status_360 = 'available' AND e.user_id % 23 <> 0"""
+    WHERE p.match_status_360 = 'available' AND e.user_id % 9 <> 4"""
 
 STATEMENTS: dict[str, str] = {
     # --- scans, sinks, projection ---

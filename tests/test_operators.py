@@ -38,6 +38,7 @@ def one(spark, column):
         (0.5, 2, "0.5"), (0.125, 2, "0.12"), (3.0, 2, "3"), (10.0, 1, "10"), (-0.0105, 4, "-0.0105"),
         (0.0123, 4, "0.0123"), (0.0005, 4, "5e-04"), (-0.00012, 4, "-1e-04"), (0.00001, 4, "0"),
         (0.001, 4, "0.001"), (100.0, 1, "100"), (-0.00001, 4, "0"),
+        (float("nan"), 2, "NaN"), (float("nan"), 4, "NaN"),
     ],
 )
 def test_number_text(spark, value, digits, text):

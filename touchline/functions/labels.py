@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from touchline.schema import TOOLTIP
+
 
 def na_text(value: Column) -> Column:
     """Text of a value, with the word NA for a missing one."""
@@ -18,11 +20,14 @@ def paste(*parts: Column | str) -> Column:
 
 def number_text(value: Column, digits: int) -> Column:
     """Shortest text of ``value`` rounded half-even to at most four digits: 0.50
-    prints as 0.5, 3.0 as 3, and one digit at the fourth place as 5e-04."""
+    prints as 0.5, 3.0 as 3, one digit at the fourth place as 5e-04, and what is no number as NaN."""
+    missing = F.isnan(value.cast("double"))
+    value = F.when(~missing, value)
     rounded = F.bround(value, digits)
     fixed = rounded.cast(f"decimal(30,{digits})").cast("string")
     trimmed = F.regexp_replace(fixed, r"\.?0+$", "") if digits else fixed
     trimmed = F.when(rounded == 0, F.lit("0")).otherwise(trimmed)
+    trimmed = F.when(missing, F.lit("NaN")).otherwise(trimmed)
     if digits < 4:
         return trimmed
     tiny = (F.abs(rounded) < 0.00095) & (rounded != 0)
@@ -60,20 +65,18 @@ def image_tag(url: Column, width: int) -> Column:
 
 def shot_tooltip(goal: bool) -> Column:
     """Hover text of an enriched shot (HTML), in the shot or the goal wording."""
-    match = ("<b>Partido:</b> ", F.col("equipo_local"), " vs ", F.col("equipo_visitante"))
+    match = (TOOLTIP["match"], F.col("equipo_local"), TOOLTIP["versus"], F.col("equipo_visitante"))
     if goal:
-        head = ("<b>GOL! de ", F.col("equipo_atacante"), "</b>", "<br>", *match)
+        head = (TOOLTIP["goal"], F.col("equipo_atacante"), TOOLTIP["goal_end"], *match)
     else:
-        head = (*match, "<br><b>Equipo:</b> ", F.col("equipo_atacante"))
-    xgot = F.when(
-        F.col("xGoT").isNotNull(), paste("<br><b>xGoT:</b> ", number_text(F.col("xGoT"), 2))
-    ).otherwise("")
+        head = (*match, TOOLTIP["team"], F.col("equipo_atacante"))
+    xgot = F.when(F.col("xGoT").isNotNull(), paste(TOOLTIP["xgot"], number_text(F.col("xGoT"), 2))).otherwise("")
     return paste(
         *head,
-        "<br><b>Fecha:</b> ", F.to_date("fecha"),
-        "<br><b>Minuto:</b> ", F.col("minuto"), ":", two_digits(F.col("segundo")),
-        "<br><b>Ejecutó:</b> ", F.col("ejecutor"),
-        "<br><b>Remató:</b> ", F.col("rematador"),
-        "<br><b>xG:</b> ", number_text(F.col("xG"), 2),
+        TOOLTIP["date"], F.to_date("fecha"),
+        TOOLTIP["minute"], F.col("minuto"), TOOLTIP["clock"], two_digits(F.col("segundo")),
+        TOOLTIP["taker"], F.col("ejecutor"),
+        TOOLTIP["shooter"], F.col("rematador"),
+        TOOLTIP["xg"], number_text(F.col("xG"), 2),
         xgot,
     )

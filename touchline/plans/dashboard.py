@@ -6,46 +6,41 @@ section. ``season=None`` means all seasons.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from touchline.plans import checks, delivery, dependence, occupancy, ratios, spatial
 from touchline.sources.tables import EventTables
 
-# section -> (title, function of tables, season, team)
+# section -> function of tables, season, team
 SECTIONS = {
-    "s1": ("Remates en córners", lambda t, season, team: occupancy.shots_by_occupancy(t)),
-    "s2": ("Remates con tooltips", lambda t, season, team: occupancy.shot_tooltips(t, season)),
-    "s3": ("Goles con tooltips", lambda t, season, team: occupancy.goal_tooltips(t, season)),
-    "s4": ("Comparación de córners", lambda t, season, team: occupancy.occupancy_comparison(t)),
-    "s5": ("Tasa de gol por remate", lambda t, season, team: occupancy.goal_rate_by_occupancy(t)),
-    "s6": ("Visualización por temporada", lambda t, season, team: occupancy.occupancy_by_season(t, season)),
-    "s7": ("Efectividad por tipo de córner", lambda t, season, team: delivery.delivery_effectiveness(t)),
-    "s8": ("Perfil táctico de córners", lambda t, season, team: delivery.tactical_profile(t, season)),
-    "s9": ("Radares de perfil táctico", lambda t, season, team: delivery.team_radar(t, season, team)),
-    "s10": ("Mapas de calor", lambda t, season, team: spatial.delivery_heatmap(t, season)),
-    "s11": ("Mapas de zonas", lambda t, season, team: spatial.zone_map(t, team, season)),
-    "s12a": ("Ratios de córners por gol", lambda t, season, team: ratios.corners_per_goal(t, season)),
-    "s12b": (
-        "Ratios de córners por gol de secuencia",
-        lambda t, season, team: ratios.corners_per_sequence_goal(t, season),
-    ),
-    "s13": (
-        "Ocasiones a balón parado por 90' vs dependencia",
-        lambda t, season, team: dependence.dependence_scatter(t, season),
-    ),
+    "s1": lambda t, season, team: occupancy.shots_by_occupancy(t),
+    "s2": lambda t, season, team: occupancy.shot_tooltips(t, season),
+    "s3": lambda t, season, team: occupancy.goal_tooltips(t, season),
+    "s4": lambda t, season, team: occupancy.occupancy_comparison(t),
+    "s5": lambda t, season, team: occupancy.goal_rate_by_occupancy(t),
+    "s6": lambda t, season, team: occupancy.occupancy_by_season(t, season),
+    "s7": lambda t, season, team: delivery.delivery_effectiveness(t),
+    "s8": lambda t, season, team: delivery.tactical_profile(t, season),
+    "s9": lambda t, season, team: delivery.team_radar(t, season, team),
+    "s10": lambda t, season, team: spatial.delivery_heatmap(t, season),
+    "s11": lambda t, season, team: spatial.zone_map(t, team, season),
+    "s12a": lambda t, season, team: ratios.corners_per_goal(t, season),
+    "s12b": lambda t, season, team: ratios.corners_per_sequence_goal(t, season),
+    "s13": lambda t, season, team: dependence.dependence_scatter(t, season),
 }
 
 # section -> table of the teams its selector offers
 TEAM_CHOICES = {"s9": checks.radar_teams, "s11": checks.event_teams}
 
 
-def default_team(t: EventTables, name: str) -> str | None:
-    """The team a section shows before one is chosen: the first of its selector."""
-    first = TEAM_CHOICES[name](t).first()
-    return first and first[0]
+def default_team(t: EventTables, name: str) -> Column:
+    """The team a section shows before one is chosen, the first of its selector, as a subquery of the plan."""
+    choices = TEAM_CHOICES[name](t)
+    return choices.agg(F.min(choices.columns[0])).scalar()
 
 
 def section(t: EventTables, name: str, season: str | None = None, team: str | None = None) -> DataFrame:
     if name in TEAM_CHOICES and team is None:
         team = default_team(t, name)
-    return SECTIONS[name][1](t, season, team)
+    return SECTIONS[name](t, season, team)

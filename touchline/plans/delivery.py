@@ -21,8 +21,8 @@ def _shot_rate() -> Column:
     return ratio(F.col("remates"), F.col(ROWS))
 
 
-def delivery_summary(t: EventTables) -> DataFrame:
-    """Corners, shot rate, goal rate and mean OBV per delivery type, best OBV first."""
+def _delivery_rates(t: EventTables) -> DataFrame:
+    """Corners, shot rate, goal rate and mean OBV per delivery type."""
     sums = corner_totals(t).groupBy("tipo_cobro").agg(*(c.alias(n) for n, c in outcome_sums().items()))
     return sums.select(
         "tipo_cobro",
@@ -30,12 +30,17 @@ def delivery_summary(t: EventTables) -> DataFrame:
         _shot_rate().alias("tasa_de_remate"),
         ratio(F.col("goles"), F.col(ROWS)).alias("tasa_de_gol_por_corner"),
         ratio(F.col("obv"), F.col("filas_obv")).alias("valor_promedio_obv"),
-    ).orderBy(F.col("valor_promedio_obv").desc_nulls_last())
+    )
+
+
+def delivery_summary(t: EventTables) -> DataFrame:
+    """The rates per delivery type, best OBV first."""
+    return _delivery_rates(t).orderBy(F.col("valor_promedio_obv").desc_nulls_last())
 
 
 def delivery_effectiveness(t: EventTables) -> DataFrame:
     """Rates and mean OBV per delivery type, long form with labels (section 7)."""
-    rows = longer(delivery_summary(t).drop("total_corners"), ["tipo_cobro"], EFFECTIVENESS)
+    rows = longer(_delivery_rates(t).drop("total_corners"), ["tipo_cobro"], EFFECTIVENESS)
     label = F.when(F.col("metrica") == "valor_promedio_obv", number_text(F.col("valor"), 4))
     return rows.withColumn("etiqueta", label.otherwise(percent_label(F.col("valor"))))
 

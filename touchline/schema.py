@@ -74,27 +74,42 @@ TEAM_NAMES = {
     "Puebla": "Club Puebla",
 }
 
-# --- fixed values: team -> number of its badge image ------------------------
-LOGO_URL = "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/{}.png"
-LOGO_NUMBERS = {
-    "América": 1292,
-    "Atlas": 1284,
-    "Atlético San Luis": 9491,
-    "Cruz Azul": 853,
-    "Guadalajara": 1283,
-    "Juárez": 10991,
-    "León": 1293,
-    "Mazatlán": 16906,
-    "Monterrey": 741,
-    "Necaxa": 1174,
-    "Pachuca": 1295,
-    "Puebla": 1296,
-    "Pumas UNAM": 1297,
-    "Querétaro": 4047,
-    "Santos Laguna": 1287,
-    "Tigres UANL": 1294,
-    "Tijuana": 4690,
-    "Toluca": 1286,
+# --- fixed values: team -> address of its badge image ----------------------
+LOGOS = {
+    "América": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1292.png",
+    "Atlas": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1284.png",
+    "Atlético San Luis": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/9491.png",
+    "Cruz Azul": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/853.png",
+    "Guadalajara": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1283.png",
+    "Juárez": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/10991.png",
+    "León": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1293.png",
+    "Mazatlán": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/16906.png",
+    "Monterrey": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/741.png",
+    "Necaxa": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1174.png",
+    "Pachuca": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1295.png",
+    "Puebla": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1296.png",
+    "Pumas UNAM": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1297.png",
+    "Querétaro": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/4047.png",
+    "Santos Laguna": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1287.png",
+    "Tigres UANL": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1294.png",
+    "Tijuana": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/4690.png",
+    "Toluca": "https://e01-mx-marca.uecdn.es/mx/assets/sports/logos/football/png/72x72/1286.png",
+}
+
+# --- fixed values: pieces of a shot's hover text ----------------------------
+TOOLTIP = {
+    "match": "<b>Partido:</b> ",
+    "versus": " vs ",
+    "goal": "<b>GOL! de ",
+    "goal_end": "</b><br>",
+    "team": "<br><b>Equipo:</b> ",
+    "date": "<br><b>Fecha:</b> ",
+    "minute": "<br><b>Minuto:</b> ",
+    "clock": ":",
+    "taker": "<br><b>Ejecutó:</b> ",
+    "shooter": "<br><b>Remató:</b> ",
+    "xg": "<br><b>xG:</b> ",
+    "xgot": "<br><b>xGoT:</b> ",
 }
 
 # --- fixed values: column names in the feed -> canonical names ---------------
@@ -125,7 +140,7 @@ EVENT_COLUMNS = {
     "obv_total_net": "obv_total_net",
 }
 
-# Atomic match columns worth keeping; a feed may lack some of them.
+# --- fixed values: atomic match columns to keep; a feed may lack some of them ---
 MATCH_KEEP = [
     "match_id", "match_date", "kick_off", "home_score", "away_score", "match_week",
     "competition.competition_id", "competition.competition_name",
@@ -196,18 +211,6 @@ def feed_schema(columns: dict[str, str] = EVENT_COLUMNS, schema: T.StructType =
     return T.StructType([T.StructField(source_of[f.name], f.dataType) for f in schema])
 
 
-MATCHES = T.StructType(
-    [
-        T.StructField("match_id", T.LongType()),
-        T.StructField("match_date", T.StringType()),
-        T.StructField("season_name", T.StringType()),
-        T.StructField("home_team_name", T.StringType()),
-        T.StructField("away_team_name", T.StringType()),
-        T.StructField("match_status_360", T.StringType()),
-    ]
-)
-
-
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small literal dimension. Inline VALUES gives Catalyst its true size, so
     joins with it are broadcast without a hint."""
@@ -234,5 +237,5 @@ def levels_table(spark: SparkSession) -> DataFrame:
 
 def logos_table(spark: SparkSession, names: dict[str, str] = TEAM_NAMES) -> DataFrame:
     """Badge per team, under the harmonised names."""
-    rows = [(names.get(team, team), LOGO_URL.format(number)) for team, number in LOGO_NUMBERS.items()]
+    rows = [(names.get(team, team), url) for team, url in LOGOS.items()]
     return literal_table(spark, rows, "team_name string, logo_url string")

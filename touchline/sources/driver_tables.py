@@ -71,7 +71,7 @@ def match_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_of_event():
     """The event's match; some events name a match that no order has."""
-    return F.when(F.col("user_id") % 23 == 0, -F.col("user_id")).otherwise(F.col("user_id"))
+    return F.when(F.col("user_id") % 9 == 4, -F.col("user_id")).otherwise(F.col("user_id"))
 
 
 def _k():
@@ -131,7 +131,7 @@ _KIND_COLUMNS = {
 }
 
 
-def _events_of(raw: DataFrame, kind: dict) -> DataFrame:
+def _events_of(raw: DataFrame, kind: dict, linked: bool = False) -> DataFrame:
     """Events of one kind. What the kind lacks is a NULL literal, so a filter on
     the kind removes the other kinds' scans from the plan."""
     event_id, user_id, day = F.col("event_id"), F.col("user_id"), F.dayofmonth("ts")
@@ -148,29 +148,29 @@ def _events_of(raw: DataFrame, kind: dict) -> DataFrame:
         _play_pattern().alias("play_pattern"),
         (event_id % 17 != 0).alias("has_frame"),
         *(kind.get(name, F.lit(None)).cast(type_).alias(name) for name, type_ in _KIND_COLUMNS.items()),
+        F.col("key_pass_id") if linked else F.lit(None).cast("long").alias("key_pass_id"),
     )
 
 
-def _key_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(shot id, highest corner id earlier in the same match and possession).
+def _linked_shots(raw: DataFrame) -> DataFrame:
+    """The raw shots with key_pass_id, the highest corner id earlier in the same match and possession.
 
     A running maximum in two levels: within a minute by a window, and over the
     earlier minutes by a window on one row per minute. No window partition
     holds a whole match or possession, so one that has most of the events is
     spread over its minutes.
     """
-    raw = _read(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
-    rows = raw.select(
-        F.col("event_id").alias("id"),
-        match_of_event().alias("match_id"),
-        F.dayofmonth("ts").alias("possession"),
-        F.date_trunc("minute", F.col("ts")).alias("at_minute"),
-        "ts",
-        F.when(F.col("event_type") == "click", F.col("event_id")).alias("corner_id"),
+    rows = raw.where(F.col("event_type").isin("click", "purchase")).withColumns(
+        {
+            "match": match_of_event(),
+            "day": F.dayofmonth("ts"),
+            "at_minute": F.date_trunc("minute", F.col("ts")),
+            "corner_id": F.when(F.col("event_type") == "click", F.col("event_id")),
+        }
     )
-    group = ["match_id", "possession"]
+    group = ["match", "day"]
     before = (Window.unboundedPreceding, -1)
-    within = Window.partitionBy(*group, "at_minute").orderBy("ts", "id").rowsBetween(*before)
+    within = Window.partitionBy(*group, "at_minute").orderBy("ts", "event_id").rowsBetween(*before)
     minutes = rows.groupBy(*group, "at_minute").agg(F.max("corner_id").alias("m"))
     over_minutes = Window.partitionBy(*group).orderBy("at_minute").rowsBetween(*before)
     earlier = minutes.withColumn("earlier", F.max("m").over(over_minutes)).drop("m")
@@ -178,8 +178,7 @@ def _key_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.withColumn("same_minute", F.max("corner_id").over(within))
         .where(F.col("corner_id").isNull())
         .join(earlier, [*group, "at_minute"])
-        .select("id", F.greatest("same_minute", "earlier").alias("key_pass_id"))
-        .where(F.col("key_pass_id").isNotNull())
+        .select(*raw.columns, F.greatest("same_minute", "earlier").alias("key_pass_id"))
     )
 
 
@@ -191,13 +190,10 @@ def events(spark: SparkSession, sf_dir: str, links: bool = True) -> DataFrame:
         F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team_name")
     )
     kind = F.col("event_type")
-    unlinked = F.lit(None).cast("long").alias("key_pass_id")
-    corners = _events_of(raw.where(kind == "click"), _corner_columns()).select("*", unlinked)
-    others = _events_of(
-        raw.where(kind.isNull() | ~kind.isin("click", "purchase")), {"type_name": F.lit("Other")}
-    ).select("*", unlinked)
-    shots = _events_of(raw.where(kind == "purchase"), _shot_columns())
-    shots = shots.join(_key_passes(spark, sf_dir), "id", "left") if links else shots.select("*", unlinked)
+    corners = _events_of(raw.where(kind == "click"), _corner_columns())
+    others = _events_of(raw.where(kind.isNull() | ~kind.isin("click", "purchase")), {"type_name": F.lit("Other")})
+    shots = _linked_shots(raw) if links else raw.where(kind == "purchase")
+    shots = _events_of(shots, _shot_columns(), linked=links)
     return corners.unionByName(shots).unionByName(others).join(nation, "team_id", "left")
 
 
