@@ -77,6 +77,12 @@ def test_prepared_tables_answer_like_raw_events(spark, t, tmp_path_factory):
     assert choices[0] == choices[1]
 
 
+def test_prepared_season_filter_prunes_folders(t, tmp_path_factory):
+    prepared = marts.write_marts(t, str(tmp_path_factory.mktemp("seasons")))
+    plan = occupancy.shot_tooltips(prepared, "2022/2023")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(temporada" in plan
+
+
 @pytest.mark.parametrize("name", [n for n in dashboard.SECTIONS if n not in ("s10",)])
 def test_dashboard_sections_answer(t, name):
     team = "Club NATION_5" if name in dashboard.TEAM_CHOICES else None

@@ -9,14 +9,20 @@ import argparse
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from touchline import schema as S
+from touchline.functions.corner import is_goal
 
 # Importing the plans registers their base tables.
 from touchline.plans import checks, corners, delivery, dependence, ratios, spatial  # noqa: F401
+from touchline.plans.corners import with_season
 from touchline.plans.stored import BASE_TABLES
 from touchline.session import build_session
-from touchline.sources.tables import EventTables, open_tables, write_table
+from touchline.sources.tables import EventTables, open_tables, write_by_season, write_table
 
 INPUTS = ["matches", "logos"]
+SEASON = "temporada"
 # Results kept next to the base tables; no query reads them back.
 RESULTS = {
     "corner_assisted_shots": corners.corner_assisted_shots,
@@ -30,21 +36,35 @@ RESULTS = {
 def write_marts(t: EventTables, folder: str) -> EventTables:
     """Write the base tables and the results; returns the prepared tables.
 
-    Each table starts from the files of those before it: the events are scanned
-    for the corners, the shots and the goals, and the rest works on tables the
-    size of corners and shots.
+    The raw events are read for the corners, shots and goals, the few kinds that the
+    tables are made of, and for the team names; each table then starts from the files of
+    those before it. Tables that carry the season have a folder per season.
     """
     spark = t.events.sparkSession
     for name in INPUTS:
         write_table(getattr(t, name), f"{folder}/{name}")
-    for name, compute in BASE_TABLES.items():
-        write_table(compute(t), f"{folder}/{name}")
-        t = replace(t, stored={**t.stored, name: spark.read.parquet(f"{folder}/{name}")})
+    # The only table that takes all events.
+    t = _write(t, "team_names", folder)
+    kinds = (F.col("pass_type") == S.CORNER) | (F.col("type_name") == S.SHOT) | is_goal()
+    relevant = with_season(t.events.where(kinds), t, "id")
+    write_by_season(relevant.withColumnRenamed(SEASON, "season_name"), f"{folder}/events", ["match_id", "id"], "overwrite")
+    t = replace(t, events=spark.read.schema(relevant.drop(SEASON).schema).parquet(f"{folder}/events"))
+    for name in BASE_TABLES:
+        if name not in t.stored:
+            t = _write(t, name, folder)
     for name, compute in RESULTS.items():
         write_table(compute(t), f"{folder}/{name}")
     return read_marts(spark, folder)
 
 
+def _write(t: EventTables, name: str, folder: str) -> EventTables:
+    """Write one base table; answers from its files from then on."""
+    table, path = BASE_TABLES[name](t), f"{folder}/{name}"
+    by = [SEASON] if SEASON in table.columns else []
+    table.write.mode("overwrite").partitionBy(*by).parquet(path)
+    return replace(t, stored={**t.stored, name: t.events.sparkSession.read.schema(table.schema).parquet(path)})
+
+
 def read_marts(spark: SparkSession, folder: str) -> EventTables:
     """Prepared tables, ready for every query that does not need raw events."""
     stored = {name: spark.read.parquet(f"{folder}/{name}") for name in BASE_TABLES}
