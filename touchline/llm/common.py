@@ -22,6 +22,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows per Arrow batch at most. Texts can be long, and a worker holds a batch or two at a time.
+BATCH_ROWS = 1000
+
+
+def map_texts(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of at most BATCH_ROWS rows (a setting of the session)."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
+def slices(batches, rows: int = 200):
+    """The record batches cut to ``rows`` rows, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, lengthened until ``df`` has no column of that name."""
     taken = {c.lower() for c in df.columns}

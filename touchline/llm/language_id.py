@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import unit_hash
+from touchline.llm.common import map_texts, slices, unit_hash
 from touchline.llm.learning import held_out
 
 #: Training rows: per language, and over all languages.
@@ -113,9 +113,9 @@ _SAMPLE = pa.schema([("lang", pa.string()), ("order", pa.int64()), ("profile", p
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = pa.array([profile(t).tobytes() for t in batch.column(2).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], schema=_SAMPLE)
+    for part in slices(batches):
+        found = pa.array([profile(t).tobytes() for t in part.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], schema=_SAMPLE)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Coder:
@@ -137,7 +137,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for other in drawn[1:]:
         keep = keep | other
     found = rows.where(keep & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("id", "text").alias("order"), "text")
-    table = found.mapInArrow(_profiles, "lang string, order long, profile binary").toArrow()
+    table = map_texts(found, _profiles, "lang string, order long, profile binary").toArrow()
     table = table.sort_by([("order", "ascending"), ("lang", "ascending"), ("profile", "ascending")])
     if not len(table):
         return Coder([], np.ones((0, 0)), np.zeros((BUCKETS, 0), np.float32), np.zeros(0), np.zeros(0))
@@ -173,5 +173,5 @@ def identify(docs: DataFrame, coder: Coder, id_col: str = "doc_id", text_col: st
     an input; rows that repeat are answered each; an empty table gives no rows.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = slim.mapInArrow(partial(_identified, coder=coder), "id long, lang_pred string, score double, ambiguous boolean")
+    found = map_texts(slim, partial(_identified, coder=coder), "id long, lang_pred string, score double, ambiguous boolean")
     return found.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "lang_pred", "score", "ambiguous")

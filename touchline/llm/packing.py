@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import map_texts
 from touchline.llm.tokens import rank_file, token_ids
 
 WINDOW = 1024
@@ -107,7 +108,7 @@ def tokenised_pieces(docs: DataFrame, path: str | None = None, capacity: int = W
     numbers the documents of a scan task. A null or empty text is the single id ``end_id``.
     """
     cut = partial(_pieces_of, path=path or rank_file(), capacity=capacity, end_id=end_id)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), cut, PIECES)
 
 
 def _packed(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.common import map_texts, slices
 from touchline.llm.learning import held_out, smallest_hashes
 
 #: Labelled rows the machine is fitted on at most.
@@ -46,7 +47,7 @@ _word_index: dict[str, int] = {}
 def _index(word: str) -> int:
     at = _word_index.get(word)
     if at is None:
-        if len(_word_index) > 400_000:
+        if len(_word_index) > 150_000:
             _word_index.clear()
         at = _word_index[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & ((1 << WORD_BITS) - 1)
     return at
@@ -148,10 +149,10 @@ _SAMPLE = pa.schema([("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32()))
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [features(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+    for part in slices(batches):
+        found = [features(t, n) for t, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
         columns = [pa.array([f[i] for f in found], _SAMPLE.field(i).type) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*columns, batch.column(3)], schema=_SAMPLE)
+        yield pa.RecordBatch.from_arrays([*columns, part.column(3)], schema=_SAMPLE)
 
 
 def _inputs(docs: DataFrame, text_col: str) -> tuple:
@@ -176,9 +177,8 @@ def train(
     marked = marked.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     sample = smallest_hashes(marked, rows, "id")
     texts = docs.select(F.col(id_col).alias("id"), *_inputs(docs, text_col)).join(F.broadcast(sample), "id")
-    found = texts.select("id", "text", "n_chars", "label").mapInArrow(
-        _sample_features, "at array<int>, x array<float>, label int"
-    )
+    inputs = texts.select("id", "text", "n_chars", "label")
+    found = map_texts(inputs, _sample_features, "at array<int>, x array<float>, label int")
     table = found.toArrow()
     data = [
         (np.array(at.values), np.array(x.values, np.float64), label.as_py())
@@ -189,12 +189,12 @@ def train(
 
 
 def _scored(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        margins = [
-            machine.margin(*features(t, n)) for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-        ]
+    for part in slices(batches):
+        pairs = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+        margins = [machine.margin(*features(t, n)) for t, n in pairs]
         scores = pa.array(1 / (1 + np.exp(-np.clip(margins, -30, 30))), pa.float64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[2:], scores], schema=pa.schema([*list(batch.schema)[2:], ("score", pa.float64())]))
+        schema = pa.schema([*list(part.schema)[2:], ("score", pa.float64())])
+        yield pa.RecordBatch.from_arrays([*part.columns[2:], scores], schema=schema)
 
 
 def with_score(docs: DataFrame, machine: Machine, text_col: str = "text", score: str = "score") -> DataFrame:
@@ -203,7 +203,7 @@ def with_score(docs: DataFrame, machine: Machine, text_col: str = "text", score:
     fields = [f.simpleString() for f in docs.schema.fields]
     names = [f"c{i}" for i in range(len(fields))]
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)), "score double"])
-    scored = staged.toDF("_text", "_n", *names).mapInArrow(partial(_scored, machine=machine), schema)
+    scored = map_texts(staged.toDF("_text", "_n", *names), partial(_scored, machine=machine), schema)
     return scored.toDF(*docs.columns, score)
 
 

@@ -89,4 +89,42 @@ SQL: dict[str, str] = {
         FROM (SELECT doc_id, {_NORMALISED} AS content FROM documents)
         WINDOW same AS (PARTITION BY content)
     """,
+    "op5_mixing": r"""
+        WITH weights AS (
+          SELECT doc_id, min(CASE WHEN quality = 0 THEN 0.25::DOUBLE ELSE 1 END) AS w FROM labels GROUP BY doc_id),
+        docs AS (
+          SELECT d.doc_id, d.source, CAST(len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+            -ln((CAST('0x' || substr(md5('mix-1:' || CAST(d.doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE)
+              / 4503599627370496::DOUBLE) / coalesce(w.w, 1) AS k
+          FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id),
+        sources AS (
+          SELECT source, CAST(sum(size) AS DOUBLE) AS s, 2.0::DOUBLE * sum(size) AS cap,
+            CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2 ELSE 1 END AS w
+          FROM docs GROUP BY source),
+        levels AS (
+          SELECT *, (sum(s) OVER () * 1.5::DOUBLE
+              - coalesce(sum(cap) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / sum(w) OVER (t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+            row_number() OVER t AS turn
+          FROM sources WINDOW t AS (ORDER BY cap / w, source NULLS LAST)),
+        targets AS (
+          SELECT source, s, coalesce(least(cap, w * (SELECT arg_min(level, turn) FROM levels WHERE level <= cap / w)), cap) AS target
+          FROM levels),
+        budgets AS (
+          SELECT *, CASE WHEN s > 0 THEN CAST(floor(target / s) AS BIGINT) ELSE 0 END AS epochs FROM targets),
+        ordered AS (
+          SELECT d.*, b.s, b.target, b.epochs, b.target - b.epochs * b.s AS budget,
+            sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) AS to_here
+          FROM docs d JOIN budgets b ON b.source IS NOT DISTINCT FROM d.source),
+        placed AS (
+          SELECT *, to_here <= budget AS chosen,
+            budget - coalesce(max(CASE WHEN to_here <= budget THEN to_here END) OVER (PARTITION BY source), 0) AS missing
+          FROM ordered),
+        extra AS (
+          SELECT arg_min(doc_id, (abs(missing - size), k, doc_id)) AS doc_id FROM placed
+          WHERE NOT chosen AND abs(missing - size) < missing GROUP BY source)
+        SELECT doc_id, size, CAST(s AS BIGINT) AS source_size, target,
+          (epochs + CASE WHEN chosen OR doc_id IN (SELECT doc_id FROM extra) THEN 1 ELSE 0 END) * size AS taken
+        FROM placed
+    """,
 }

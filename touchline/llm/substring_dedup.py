@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import lookup_join, whole_text, written
+from touchline.llm.common import lookup_join, map_texts, whole_text, written
 
 WIDTH = 200
 GRAM = 64
@@ -283,7 +283,7 @@ def repeated_spans(
     spans are the maximal removed runs in bytes, kept the remaining bytes. ``texts`` is read several times and
     must give a row the same text each time, as a table of files does.
     """
-    cover = texts.mapInArrow(partial(_cover, width=width, gram=gram), "row long, grams array<long>, positions array<int>")
+    cover = map_texts(texts, partial(_cover, width=width, gram=gram), "row long, grams array<long>, positions array<int>")
     grams = cover.select("row", F.explode(F.arrays_zip("grams", "positions")).alias("s"))
     grams = grams.select("row", F.col("s.grams").alias("gram"), F.col("s.positions").alias("position"))
     repeated = written(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeated-grams")
@@ -293,7 +293,7 @@ def repeated_spans(
     places = lookup_join(grams, repeated, "gram", "n")
     mark = F.struct("position", "gram", (F.col("n") > heavy).alias("heavy"))
     marks = places.groupBy("row").agg(F.collect_list(mark).alias("marks"))  # at most the samples of one document
-    packed = texts.mapInArrow(_packed, "row long, packed binary")
+    packed = map_texts(texts, _packed, "row long, packed binary")
     documents = written(packed.join(marks, "row"), "repeating-documents")
 
     sizes = {"width": width, "gram": gram}

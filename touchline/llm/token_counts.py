@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import unit_hash, whole_text, written
+from touchline.llm.common import map_texts, unit_hash, whole_text, written
 from touchline.llm.tokens import json_file, piece_count, pre_tokens, rank_file
 
 #: The sample that names the frequent pre-tokens, and how many it may name. Both bound what
@@ -57,7 +57,7 @@ def _count_pieces(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.R
 def pre_token_parts(texts: DataFrame, known: dict[str, int], json_path: str) -> DataFrame:
     """(row, known, pre_tokens, times) of (row, text)."""
     split = partial(_split, path=json_path, known=known)
-    return texts.mapInArrow(split, "row long, known long, pre_tokens array<string>, times array<int>")
+    return map_texts(texts, split, "row long, known long, pre_tokens array<string>, times array<int>")
 
 
 def _exploded(parts: DataFrame) -> DataFrame:
