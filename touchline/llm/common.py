@@ -70,6 +70,15 @@ def unit_hash(*cols: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(2**53)
 
 
+def rows_kept(docs: DataFrame, kept: DataFrame, row: str, how: str = "left_semi") -> DataFrame:
+    """``docs`` joined to ``kept`` on the column ``row``, one row each.
+
+    What is kept grows with the corpus, so it is never broadcast, at any size; its row ids are
+    hashed per shuffle partition, and the texts are not sorted.
+    """
+    return docs.join(kept.hint("shuffle_hash"), row, how)
+
+
 #: Keys of a lookup joined by broadcast: the heaviest ones, so that any other key has at
 #: most a thousandth of the rows.
 HOT_KEYS = 1000

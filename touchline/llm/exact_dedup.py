@@ -14,7 +14,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import free_name, id_back, id_order, lookup_join, whole_text, written
+from touchline.llm.common import free_name, id_back, id_order, lookup_join, rows_kept, whole_text, written
 
 SALTS = 8
 
@@ -95,6 +95,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     row = free_name(docs, "scan_row")
     kept = written(content_classes(docs, id_col, text_col).select(F.col("keep_row").alias(row)), "exact-kept")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").drop(row)
+    return rows_kept(docs.withColumn(row, F.monotonically_increasing_id()), kept, row).drop(row)
 
 

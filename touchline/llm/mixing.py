@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import free_name, id_back, id_order, written
+from touchline.llm.common import free_name, id_back, id_order, rows_kept, written
 
 #: Weights of the sources in code-point order, repeating; the share of all words that is mixed; the most
 #: often a document is taken.
@@ -160,4 +160,5 @@ def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, **options
     row, times = free_name(docs, "scan_row"), free_name(docs, "times")
     copies = mix(docs, weights, **options).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times))
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    return numbered.join(copies, row).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)).drop(times)
+    taken = rows_kept(numbered, copies, row, "inner")
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)).drop(times)
