@@ -25,7 +25,7 @@ from touchline.llm.common import map_texts, slices
 from touchline.llm.learning import held_out, smallest_hashes
 
 #: Labelled rows the machine is fitted on at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 WORD_BITS = 16
 FACTORS = 6
 LEAST_STEPS = 400
@@ -181,7 +181,7 @@ def train(
     found = map_texts(inputs, _sample_features, "at array<int>, x array<float>, label int")
     table = found.toArrow()
     data = [
-        (np.array(at.values), np.array(x.values, np.float64), label.as_py())
+        (at.values.to_numpy(zero_copy_only=False), x.values.to_numpy(zero_copy_only=False), label.as_py())
         for at, x, label in zip(table["at"], table["x"], table["label"], strict=True)
     ]
     data.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes(), r[2]))  # the order of tasks must not matter
