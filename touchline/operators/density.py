@@ -112,9 +112,13 @@ def _density_runs(
         .groupBy(*by, F.col(x).alias("px"), F.col(y).alias("py"))
         .agg(F.count("*").alias("w"))
     )
-    across = quartiles(bins, by, "px", "w", *xlim).withColumnsRenamed({"q1": "x1", "q3": "x3"})
-    upward = quartiles(bins, by, "py", "w", *ylim).withColumnsRenamed({"q1": "y1", "q3": "y3"})
-    moments = bins.join(across.join(upward, by), by)
+    # Both axes go through one pass, as rows of their own.
+    axes = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"p{a}").cast("double").alias("v")) for a in "xy"))
+    along = quartiles(
+        bins.select(*by, "w", F.inline(axes)), [*by, "axis"], "v", "w", min(xlim[0], ylim[0]), max(xlim[1], ylim[1])
+    )
+    edges = {f"{a}{q}": F.max(F.when(F.col("axis") == a, F.col(f"q{q}"))) for a in "xy" for q in (1, 3)}
+    moments = bins.join(along.groupBy(*by).agg(*(edge.alias(name) for name, edge in edges.items())), by)
     widths = moments.groupBy(*by).agg(
         F.sum("w").alias("n"),
         F.coalesce(kernel_sd(F.col("px"), F.col("w"), F.col("x1"), F.col("x3")), F.lit(step_x)).alias("hx"),
