@@ -3,8 +3,8 @@ import regex
 from public_tokenizers import PATTERN
 from tokenizers import Tokenizer
 
-from touchline.llm import token_counts
-from touchline.llm.tokens import _PLAIN, json_file, pre_tokens, rank_file
+from touchline.llm import packing, token_counts
+from touchline.llm.tokens import _PLAIN, json_file, pre_tokens, rank_file, token_ids
 
 TOKENIZER = Tokenizer.from_file(json_file())
 
@@ -50,3 +50,17 @@ def test_each_pre_token_is_counted_once(spark):
 
 def test_empty_table(no_docs):
     assert token_counts.token_counts(no_docs).count() == 0
+
+
+def test_very_long_blank_runs(make_docs):
+    """Over a million blanks or newlines in a row, which the rank file's library does not take."""
+    runs = [" " * 1_100_000, "\n" * 1_100_000, "\u3000" * 1_000_100]
+    texts = ["a b" + run + tail for run in runs for tail in ("", "tail 1", "<|endoftext|>x")] + [runs[0] + "a" + runs[1] + "!"]
+    rows = list(enumerate(texts))
+    wanted = [(i, n_tokens(t)) for i, t in rows]
+    for _, text in rows[:2]:
+        assert token_ids(text, rank_file()).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+    docs = make_docs(rows)
+    assert sorted((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs).collect()) == wanted
+    pieces = packing.tokenised_pieces(docs).where("start = 0").select("doc_id", "doc_tokens").collect()
+    assert sorted((r.doc_id, r.doc_tokens - 1) for r in pieces) == wanted
