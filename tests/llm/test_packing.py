@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -93,3 +94,22 @@ def test_groups_have_their_own_sequences(documents):
 
 def test_empty_table(no_docs):
     assert packing.packed_documents(no_docs).count() == 0
+
+
+def test_full_windows_meet_no_packing_task(make_docs, monkeypatch):
+    """A book of many windows: only its rest comes to the frames of the packing tasks."""
+    best_fit = packing.best_fit
+
+    def rests_only(lengths, capacity):
+        assert len(lengths) <= 3 and lengths.max() < capacity
+        return best_fit(lengths, capacity)
+
+    monkeypatch.setattr(packing, "best_fit", rests_only)
+    rows = [(1, "word and " * 40_000), (2, "word and " * 20_000), (3, "short")]
+    packed = packing.packed_documents(make_docs(rows)).collect()
+    check([Row(**r.asDict(), deal=0) for r in packed], rows, 1024)
+    full = [r for r in packed if r.length == 1024]
+    assert len(full) > 100 and {r.offset for r in full} == {0}
+    assert not {r.sequence_id for r in full} & {r.sequence_id for r in packed if r.length < 1024}
+    assert len({r.sequence_id for r in full}) == len(full)
+

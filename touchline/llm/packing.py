@@ -1,6 +1,6 @@
 """Best-fit-decreasing packing of tokenised documents into fixed windows.
 
-Overlong documents are first cut into full windows. The rests, longest first, each go
+Overlong documents are first cut into full windows, each a sequence of its own. The rests, longest first, each go
 into the open window with the least room that still holds them, found by a segment tree
 over the remaining capacity. Rests are dealt by hash into groups of bounded size that are packed
 on their own: thousands of rests fill windows as well as millions would.
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import map_texts
+from touchline.llm.common import map_texts, written
 from touchline.llm.tokens import rank_file, token_ids
 
 WINDOW = 1024
-#: Documents per packing group on average: bounds the memory of one packing task.
+#: Rests (at most one a document) per packing group on average: bounds the memory of one packing task.
 GROUP_ROWS = 30_000
 #: Documents tokenised before their pieces are handed on.
 CHUNK_ROWS = 500
@@ -122,21 +122,25 @@ def pack(pieces: DataFrame, groups: int, capacity: int = WINDOW) -> DataFrame:
     """``pieces`` (doc_id, start, length, deal and any others) with sequence_id and offset.
 
     sequence_id is unique over the groups; offset runs gapless from 0 in each sequence. Equal
-    lengths are taken by doc_id, start and deal; rows that repeat a doc_id are packed each.
+    lengths are taken by doc_id, start and deal; rows that repeat a doc_id are packed each. Full
+    windows are numbered after the groups' sequences and take no part in the packing tasks.
     """
+    pieces = written(pieces, "pieces")
+    own = (F.lit(groups << 32) + F.monotonically_increasing_id()).alias("sequence_id")
+    full = pieces.where(F.col("length") == capacity).drop("deal").select("*", own, F.lit(0).cast("long").alias("offset"))
     group = F.pmod(F.xxhash64("doc_id", "start", "deal"), F.lit(groups))
-    grouped = pieces.withColumn("pack_group", group)
+    grouped = pieces.where(F.col("length") < capacity).withColumn("pack_group", group)
     kept = [f for f in pieces.schema.fields if f.name != "deal"]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "sequence_id long, offset long"])
 
     def packed(rows: pd.DataFrame) -> pd.DataFrame:
         return _packed(rows, capacity)
 
-    return grouped.groupBy("pack_group").applyInPandas(packed, schema)
+    return grouped.groupBy("pack_group").applyInPandas(packed, schema).unionByName(full)
 
 
 def pack_groups(docs: DataFrame, rows: int = GROUP_ROWS) -> int:
-    """Packing groups for ``docs``; the count comes from the files' metadata."""
+    """Packing groups for the rests of ``docs``, at most one a document; the count comes from the files' metadata."""
     return max(1, -(-docs.count() // rows))
 
 
