@@ -55,10 +55,10 @@ def test_empty_table(no_docs):
 def test_very_long_blank_runs(make_docs):
     """Over a million blanks or newlines in a row, which the rank file's library does not take."""
     runs = [" " * 1_100_000, "\n" * 1_100_000, "\u3000" * 1_000_100]
-    texts = ["a b" + run + tail for run in runs for tail in ("", "tail 1", "<|endoftext|>x")] + [runs[0] + "a" + runs[1] + "!"]
+    texts = ["a b" + runs[0] + "tail 1", runs[1] + "<|endoftext|>x", "a" + runs[2]]
     rows = list(enumerate(texts))
     wanted = [(i, n_tokens(t)) for i, t in rows]
-    for _, text in rows[:2]:
+    for _, text in rows:
         assert token_ids(text, rank_file()).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
     docs = make_docs(rows)
     assert sorted((r.doc_id, r.n_tokens) for r in token_counts.token_counts(docs).collect()) == wanted
