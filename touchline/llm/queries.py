@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, language_id, mixing, nearest, packing, quality, sharding, simhash, substring_dedup, token_counts
+from touchline.llm import exact_dedup, filter_audit, language_id, mixing, nearest, packing, quality, sharding, simhash, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _NORMALISED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -127,4 +132,47 @@ SQL: dict[str, str] = {
           (epochs + CASE WHEN chosen OR doc_id IN (SELECT doc_id FROM extra) THEN 1 ELSE 0 END) * size AS taken
         FROM placed
     """,
+    "op13_filter_audit": r"""
+        WITH texts AS (
+          SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+        words AS (
+          SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM texts),
+        flags AS (
+          SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+          FROM labels GROUP BY doc_id),
+        failed AS (
+          SELECT w.part, coalesce(f.good, 0) AS good, coalesce(f.toxic, 0) AS toxic,
+            (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+            + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END)
+            + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN w.doc_id > first THEN 16 ELSE 0 END) AS fails
+          FROM words w LEFT JOIN flags f ON f.doc_id = w.doc_id),
+        sets AS (
+          SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails),
+        letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)),
+        orders AS (
+          SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+          FROM letters a, letters b, letters c, letters d, letters e
+          WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        steps AS (
+          SELECT o.filter_order, s.step, l.letter, l.bit,
+            (SELECT coalesce(sum(p.bit), 0) FROM letters p WHERE position(p.letter IN o.filter_order) < s.step) AS before
+          FROM orders o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) s, letters l
+          WHERE l.letter = substr(o.filter_order, s.step, 1)),
+        counted AS (
+          SELECT part, filter_order, step, letter,
+            sum(CASE WHEN (fails & (before | bit)) = 0 THEN n ELSE 0 END) AS kept,
+            sum(CASE WHEN (fails & before) = 0 AND (fails & bit) > 0 THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN (fails & before) > 0 AND (fails & bit) > 0 THEN n ELSE 0 END) AS redundant,
+            sum(CASE WHEN fails = bit THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN (fails & before) = 0 AND (fails & bit) > 0 THEN good ELSE 0 END) AS good_lost,
+            sum(CASE WHEN (fails & before) = 0 AND (fails & bit) > 0 THEN toxic ELSE 0 END) AS toxic_lost
+          FROM (SELECT filter_order, CAST(step AS INTEGER) AS step, letter, CAST(bit AS INTEGER) AS bit,
+                  CAST(before AS INTEGER) AS before FROM steps), sets
+          GROUP BY part, filter_order, step, letter)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+          CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+          CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+          CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM counted
+    """,
 }
