@@ -85,7 +85,7 @@ def test_empty_and_lone(spark):
     assert collected(similar_vectors(table(spark, [(3, [1.0], 1)]))) == [(3, 0, 3, True)]
 
 
-@pytest.mark.parametrize("block", [10_000, 9])
+@pytest.mark.parametrize("block", [10_000, 60])
 def test_clusters_and_blocks(spark, monkeypatch, block):
     """A large group of near copies and chains; blocks of a list change nothing."""
     monkeypatch.setattr(module, "BLOCK", block)

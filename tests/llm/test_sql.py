@@ -9,7 +9,7 @@ from touchline.llm.queries import QUERIES, SQL
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("documents", "labels", "embeddings"):
+    for table in ("documents", "labels", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     wanted = con.sql(SQL[name])
     columns = sorted(wanted.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import embedding_dedup, exact_dedup, filter_audit, language_id, mixing, nearest, packing, quality, sharding, simhash, substring_dedup, token_counts
+from touchline.llm import embedding_dedup, exact_dedup, filter_audit, language_id, mixing, nearest, packing, quality, ranked_search, sharding, simhash, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_sharding": op10_sharding,
     "op11_embedding_dedup": op11_embedding_dedup,
+    "op12_ranked_search": op12_ranked_search,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -137,6 +142,29 @@ SQL: dict[str, str] = {
           (epochs + CASE WHEN chosen OR doc_id IN (SELECT doc_id FROM extra) THEN 1 ELSE 0 END) * size AS taken
         FROM placed
     """,
+    "op12_ranked_search": r"""
+        WITH docs AS (
+          SELECT doc_id, row_number() OVER () AS doc, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        items AS (
+          SELECT item_id, row_number() OVER () AS item, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        asked AS (SELECT item, item_id, term, count(*) AS times FROM items GROUP BY item, item_id, term),
+        totals AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM docs WHERE len(w) > 0),
+        held AS (
+          SELECT doc, doc_id, n, term, count(*) AS tf FROM (SELECT doc, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM docs)
+          WHERE term IN (SELECT term FROM asked) GROUP BY doc, doc_id, n, term),
+        weights AS (
+          SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+          FROM (SELECT term, count(*) AS df FROM held GROUP BY term), totals),
+        scored AS (
+          SELECT item, item_id, doc, doc_id,
+            CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+          FROM asked JOIN held USING (term) JOIN weights USING (term), totals GROUP BY item, item_id, doc, doc_id),
+        ranked AS (
+          SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
     "op13_filter_audit": r"""
         WITH texts AS (
           SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
