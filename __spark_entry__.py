@@ -17,13 +17,14 @@ from oracle.sql import CELLS, SEASON, TEAM, TEAM_PATTERN
 from touchline import schema as S
 from touchline.functions.corner import coordinate
 from touchline.functions.labels import percent_label, percent_text, safe_name
+from touchline.operators.regions import assign_regions
 from touchline.operators.relational import any_of, cast_flags, first_rows, for_season
-from touchline.plans import checks, corners, delivery, dependence, occupancy, ratios, spatial
+from touchline.plans import checks, corners, delivery, dependence, occupancy, ratios, snapshots, spatial
 from touchline.plans.marts import write_marts
 from touchline.session import work_folder
 from touchline.sources import driver_tables
-from touchline.sources.ingest import ingest, pending_matches, read_manifest, scan_landing
-from touchline.sources.tables import EventTables, catalog_entries, scan_events, write_by_season, write_feed
+from touchline.sources.ingest import ingest, ingest_files, pending_matches, read_manifest, scan_landing, scan_match
+from touchline.sources.tables import EventTables, catalog_entries, events_of_matches, scan_events, write_by_season, write_feed
 from touchline.streaming.landing import land_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +142,13 @@ def _zone_assignment(t: EventTables) -> DataFrame:
     )
 
 
+def _region_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corner end points and the rectangles of a table that hold them."""
+    t = driver_tables.open_tables(spark, sf_dir, links=False)
+    points = spatial.corner_end_points(t).select("id", "team_name", "end_x", "end_y")
+    return assign_regions(points, driver_tables.regions(spark, sf_dir), "id", default=S.OTHER_ZONE)
+
+
 def _rounded_grid(grid: DataFrame) -> DataFrame:
     digits = {"grid_x": 9, "grid_y": 9, "densidad": 12, "nivel": 12}
     return grid.withColumns({c: F.round(c, d) for c, d in digits.items()})
@@ -188,6 +196,77 @@ def _ingest_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _landed(spark, folder)
 
 
+def _inbox(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """A folder of feed files of which the one file with the matches of odd id cannot be read, and its events."""
+    folder = work_folder(spark, "inbox")
+    feed = _as_feed(spark.read.schema(_feed_schema()).parquet(f"{sf_dir}/events.parquet"))
+    odd = F.pmod("match_id", F.lit(2)) == 1
+    feed.where(~odd).repartition("match_id").write.parquet(f"{folder}/even")
+    # Text under a name that promises Parquet.
+    damaged = spark.range(1).selectExpr("'not what it seems' AS value").coalesce(1)
+    damaged.write.partitionBy().text(f"{folder}/odd.parquet")
+    return folder, feed.where(odd)
+
+
+def _file_schema() -> T.StructType:
+    return T.StructType([*_feed_schema().fields, T.StructField("match_id", T.LongType())])
+
+
+def _ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of available matches whose files can be read."""
+    (inbox, _), folder = _inbox(spark, sf_dir), work_folder(spark, "landing")
+    ingest_files(spark, inbox, _file_schema(), driver_tables.matches(spark, sf_dir), folder, "event_id")
+    return _landed(spark, folder)
+
+
+def _ingest_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the provider has delivered the other matches as well."""
+    (inbox, odd), folder = _inbox(spark, sf_dir), work_folder(spark, "landing")
+    matches = driver_tables.matches(spark, sf_dir)
+    ingest_files(spark, inbox, _file_schema(), matches, folder, "event_id")
+    odd.repartition("match_id").write.parquet(f"{inbox}/odd")
+    ingest_files(spark, inbox, _file_schema(), matches, folder, "event_id")
+    return _landed(spark, folder)
+
+
+def _match_through_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the first landed match, from the file that holds it."""
+    folder = _ingest_first(spark, sf_dir)
+    first = read_manifest(spark, folder).agg(F.min("match_id")).first()[0]
+    one = scan_match(spark, folder, first, _file_schema())
+    return one.select("event_id", "match_id", "event_type", "season_name")
+
+
+def _glob_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners from the feed files that an explicit glob names."""
+    folder = work_folder(spark, "feed")
+    write_feed(driver_tables.nested_events(spark, sf_dir), folder)
+    found = scan_events(spark, f"{folder}/part-*.parquet")
+    return found.where(F.col("pass_type") == S.CORNER).select("id", "match_id", "team_name", "pass_length")
+
+
+def _season_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed in season folders, as a scan that knows them."""
+    t, folder = driver_tables.raw_tables(spark, sf_dir, links=False), work_folder(spark, "seasons")
+    feed = driver_tables.nested_events(spark, sf_dir)
+    seasoned = corners.with_season(feed, t, "id").withColumnRenamed("temporada", "season_name")
+    write_feed(seasoned, folder, season_col="season_name")
+    return scan_events(spark, folder, partitions="season_name string")
+
+
+def _season_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of one season; the other folders are not opened."""
+    found = for_season(_season_feed(spark, sf_dir), SEASON, "season_name")
+    return found.select("id", "match_id", "type_name", "season_name")
+
+
+def _period_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the matches of one summer; the seasons come from the match table while the query runs."""
+    played = driver_tables.matches(spark, sf_dir).where("match_date BETWEEN '1995-06-01' AND '1995-08-31'")
+    found = events_of_matches(_season_feed(spark, sf_dir), played)
+    return found.select("id", "match_id", "type_name", "season_name")
+
+
 def _streamed(spark: SparkSession, sf_dir: str, matches: DataFrame) -> str:
     folder = work_folder(spark, "landing")
     # As a pattern the path may be a folder or, which a stream's plain path may not, one file.
@@ -217,6 +296,18 @@ def _materialize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/corner_outcomes")
 
 
+def _snapshot_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corner outcomes of the second version of prepared tables, in which one season came in later."""
+    folder, whole = work_folder(spark, "snapshots"), driver_tables.open_tables(spark, sf_dir)
+    before = F.col("season_name").isNull() | (F.col("season_name") != SEASON)
+    early = replace(whole, matches=whole.matches.where(before))
+    late = whole.matches.where(~before).select("match_id")
+    early = replace(early, events=whole.events.join(late, "match_id", "left_anti").select(*whole.events.columns))
+    snapshots.refresh(early, folder)
+    snapshots.refresh(whole, folder, [SEASON])
+    return corners.corner_outcomes(snapshots.read_snapshot(spark, folder))
+
+
 def _feed_tables(spark: SparkSession, sf_dir: str) -> EventTables:
     """Tables over feed files: dotted names, nested players, several files."""
     folder = work_folder(spark, "feed")
@@ -270,8 +361,15 @@ def queries() -> dict[str, Query]:
         # scans, sinks, projection
         "scan_events": _linked(lambda t: _xy(t.events)),
         "materialize_roundtrip": _materialize_roundtrip,
+        "snapshot_refresh": _snapshot_refresh,
         "ingest_pending_matches": _ingest_pending,
         "ingest_landing": _ingest_landing,
+        "ingest_quarantine": _ingest_quarantine,
+        "ingest_repaired": _ingest_repaired,
+        "match_through_index": _match_through_index,
+        "glob_scan": _glob_scan,
+        "season_scan": _season_scan,
+        "period_scan": _period_scan,
         "stream_landing": _stream_landing,
         "stream_then_ingest": _stream_then_ingest,
         "feed_scan": _feed_scan,
@@ -342,6 +440,7 @@ def queries() -> dict[str, Query]:
             lambda t: _rounded_grid(spatial.delivery_heatmap(t, by_season=True, cells=CELLS))
         ),
         "zone_assignment": _unlinked(_zone_assignment),
+        "region_assignment": _region_assignment,
         "zone_map": _unlinked(lambda t: spatial.zone_map(t, TEAM)),
         "zone_map_of_no_team": _unlinked(lambda t: spatial.zone_map(t, "No such team")),
         "zone_counts": _unlinked(spatial.zone_counts),
@@ -354,6 +453,7 @@ def queries() -> dict[str, Query]:
             lambda t: ratios.ranked_ratios(ratios.corners_per_sequence_goal(t))
         ),
         "goal_sequences": _unlinked(ratios.goal_sequences),
+        "sequence_goals": _unlinked(ratios.sequence_goals),
         "corners_per_sequence_goal": _unlinked(ratios.corners_per_sequence_goal),
         "corners_per_sequence_goal_one_season": _unlinked(lambda t: ratios.corners_per_sequence_goal(t, SEASON)),
         "corners_per_sequence_goal_by_season": _unlinked(ratios.corners_per_sequence_goal_by_season),

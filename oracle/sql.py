@@ -356,12 +356,31 @@ STATEMENTS: dict[str, str] = {
     "materialize_roundtrip": _statement(
         "SELECT id, match_id, team_name, tipo_cobro, obv_total_net, fue_gol, termino_en_remate FROM cobros"
     ),
+    "snapshot_refresh": _statement(
+        "SELECT id, match_id, team_name, tipo_cobro, obv_total_net, fue_gol, termino_en_remate FROM cobros"
+    ),
     "ingest_pending_matches": _statement(
         """SELECT match_id, temporada AS season_name, match_status_360 FROM partidos p
         WHERE match_status_360 = 'available'
           AND (match_id % 2 = 1 OR NOT EXISTS (SELECT 1 FROM ev e WHERE e.match_id = p.match_id))"""
     ),
     "ingest_landing": _statement(_LANDED),
+    "ingest_quarantine": _statement(f"{_LANDED} AND p.match_id % 2 = 0"),
+    "ingest_repaired": _statement(_LANDED),
+    "match_through_index": _statement(
+        f"SELECT * FROM ({_LANDED} AND p.match_id % 2 = 0) WHERE match_id = (SELECT min(match_id) FROM ({_LANDED} AND p.match_id % 2 = 0))"
+    ),
+    "glob_scan": _statement(
+        "SELECT CAST(e.id AS VARCHAR) AS id, e.match_id, n.n_name AS team_name, e.pass_length FROM corners e JOIN nation n ON n.n_nationkey = e.team_id"
+    ),
+    "season_scan": _statement(
+        f"""SELECT CAST(id AS VARCHAR) AS id, match_id, type_name, temporada AS season_name FROM ev JOIN partidos USING (match_id)
+        WHERE temporada = '{SEASON}'"""
+    ),
+    "period_scan": _statement(
+        """SELECT CAST(id AS VARCHAR) AS id, match_id, type_name, temporada AS season_name FROM ev JOIN partidos USING (match_id)
+        WHERE fecha BETWEEN DATE '1995-06-01' AND DATE '1995-08-31'"""
+    ),
     "stream_landing": _statement(_LANDED),
     "stream_then_ingest": _statement(_LANDED),
     "feed_scan": _statement(
@@ -560,6 +579,14 @@ STATEMENTS: dict[str, str] = {
     "zone_assignment": _statement(
         "SELECT match_id, team_name, tipo_cobro, end_x, end_y, temporada, zona_nombre FROM en_zona"
     ),
+    "region_assignment": _statement(
+        """SELECT k.id, k.team_name, k.end_x, k.end_y, coalesce(z.zona_nombre, 'Otra Zona') AS zona_nombre
+        FROM corners k LEFT JOIN regiones z ON k.end_x BETWEEN z.xmin AND z.xmax AND k.end_y BETWEEN z.ymin AND z.ymax""",
+        """regiones AS (
+          SELECT 'Z' || CAST(s_suppkey AS VARCHAR) AS zona_nombre, 60 + s_suppkey * 7 % 53 AS xmin,
+            CASE WHEN s_suppkey % 23 <> 0 THEN 60 + s_suppkey * 7 % 53 + s_suppkey % 9 END AS xmax,
+            s_suppkey * 11 % 71 AS ymin, s_suppkey * 11 % 71 + (s_suppkey % 5) / 2 AS ymax FROM supplier)""",
+    ),
     "zone_map": _statement(
         f"""SELECT z.*, (xmin + xmax) / 2 AS centro_x, (ymin + ymax) / 2 AS centro_y,
           c.team_name, c.tipo_cobro, c.total_en_zona
@@ -601,6 +628,12 @@ STATEMENTS: dict[str, str] = {
         )
     ),
     "goal_sequences": _statement("SELECT id, ts, match_id, possession, team_id, team_name FROM secuencias"),
+    "sequence_goals": _statement(
+        """SELECT c.id, c.ts, c.match_id, c.possession, c.team_id, c.team_name, g.id AS gol_id, g.ts AS gol_ts
+        FROM corners c JOIN ev g ON g.match_id = c.match_id AND g.possession = c.possession
+          AND g.team_id = c.team_id AND g.team_name = c.team_name AND g.shot_outcome = 'Goal' AND g.ts > c.ts
+        QUALIFY row_number() OVER (PARTITION BY c.id ORDER BY g.ts, g.id) = 1"""
+    ),
     "corners_per_sequence_goal": _statement(
         _RATIO.format(
             goals="total_goles_secuencia",

@@ -20,7 +20,7 @@ from touchline.functions.labels import (
 from touchline.functions.nulls import mean_of, strict_sum, sum_or_zero
 from touchline.operators.density import kernel_density, pretty_step, quartiles
 from touchline.operators.relational import any_of, cast_flags, null_safe_left, selector_domain
-from touchline.operators.sequences import flag_followed
+from touchline.operators.sequences import flag_followed, next_target
 from touchline.operators.zones import assign_zones
 from touchline.session import work_folder
 from touchline.sources import ingest as landing
@@ -307,3 +307,20 @@ def test_season_layout_spreads_a_hot_match(spark, tmp_path):
 def test_work_folder_follows_the_session(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert work_folder(spark, "x").startswith(shared)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_next_target_equals_all_pairs(spark, hot):
+    """The first later target, ties to the smaller id; targets at the event's own time and under null keys do not count."""
+    events = [(i, None if i % 17 == 0 else (1 if hot else i % 5), f"00:{i * 7 % 40:02d}:{i * 13 % 60 // 20:02d}") for i in range(160)]
+    goals = [(1000 - i, None if i % 19 == 0 else (1 if hot else i % 6), f"00:{i * 11 % 43:02d}:{i * 5 % 60 // 20:02d}") for i in range(60)]
+    fields = "id long, match long, ts string"
+    found = next_target(
+        spark.createDataFrame(events, fields), spark.createDataFrame(goals, fields), ["match"], "ts", F.substring("ts", 1, 5), into="goal"
+    )
+    wanted = {}
+    for i, m, ts in events:
+        later = sorted((t, g) for g, gm, t in goals if m is not None and gm == m and t > ts)
+        wanted[i] = (later[0][1], later[0][0]) if later else (None, None)
+    assert {r.id: (r.goal.id, r.goal.ts) for r in found.collect()} == wanted
+    assert found.columns == ["id", "match", "ts", "goal"]

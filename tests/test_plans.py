@@ -7,11 +7,12 @@ import pytest
 import __spark_entry__ as registry
 from touchline.plans import corners, occupancy, ratios, spatial
 from touchline.sources import driver_tables
-from touchline.sources.tables import EventTables, scan_events
+from touchline.operators.relational import for_season
+from touchline.sources.tables import EventTables, events_of_matches, scan_events
 from touchline import schema as S
 from tests.football import MATCH_DDL
 
-SKIP = {"materialize_roundtrip", "ingest_pending_matches", "ingest_landing", "stream_landing", "stream_then_ingest",
+SKIP = {"materialize_roundtrip", "snapshot_refresh", "ingest_quarantine", "ingest_repaired", "match_through_index", "ingest_pending_matches", "ingest_landing", "stream_landing", "stream_then_ingest",
         "feed_scan", "box_occupancy_nested", "corner_outcomes_nested", "season_roundtrip"}  # these write first
 
 
@@ -76,11 +77,11 @@ def test_sequence_goals_shrink_before_the_join(feed):
 
 
 def test_only_small_counts_are_hinted():
-    """One row per level or per panel; other joins leave the choice to Spark's size estimates."""
+    """One row per level or per panel, of the hot keys, which are counted, of seasons or grid levels; other joins leave the choice to Spark's size estimates."""
     from pathlib import Path
 
     files = [f for f in Path(corners.__file__).parents[1].rglob("*.py") if "llm" not in f.parts]
-    assert sorted(f.name for f in files if "broadcast(" in f.read_text()) == ["density.py", "occupancy.py"]
+    assert sorted(f.name for f in files if "broadcast(" in f.read_text()) == ["density.py", "occupancy.py", "skew.py", "tables.py"]
 
 
 def executed(df) -> str:
@@ -127,7 +128,7 @@ def test_hot_possession_is_spread(spark, feed):
         plan = plan_of(ratios.flagged_corners(feed))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(re.findall(r"hashpartitioning\([^)]*team_name#\d+, __salt", plan)) == 2
+    assert len(re.findall(r"hashpartitioning\([^\n]*__(?:key|one)_team_name[^\n]*__(?:no_)?salt", plan)) == 2
 
 
 def test_hot_corner_and_hot_match_are_spread(spark, feed):
@@ -137,6 +138,16 @@ def test_hot_corner_and_hot_match_are_spread(spark, feed):
         points = plan_of(spatial.delivery_points(feed))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(re.findall(r"hashpartitioning\(key_pass_id#\d+, __salt", linked)) == 2
-    assert len(re.findall(r"hashpartitioning\(match_id#\d+L?, __salt", linked)) == 2
-    assert len(re.findall(r"hashpartitioning\(match_id#\d+L?, __salt", points)) == 2
+    assert len(re.findall(r"hashpartitioning\([^\n]*__(?:key|one)_key_pass_id[^\n]*__(?:no_)?salt", linked)) == 2
+    assert len(re.findall(r"hashpartitioning\([^\n]*__(?:key|one)_match_id[^\n]*__(?:no_)?salt", linked)) == 2
+    assert len(re.findall(r"hashpartitioning\([^\n]*__(?:key|one)_match_id[^\n]*__(?:no_)?salt", points)) == 2
+
+
+def test_season_filter_and_match_dimension_prune_folders(spark, sf_dir):
+    feed = registry._season_feed(spark, sf_dir)
+    season = for_season(feed, "2022/2023", "season_name").select("id")
+    assert re.search(r"PartitionFilters: \[[^]]*season_name#\d+ = 2022/2023", plan_of(season))
+    matches = driver_tables.matches(spark, sf_dir).where("match_date < '1996-01-01'")
+    found = events_of_matches(feed, matches).select("id")
+    assert "dynamicpruning" in plan_of(found)
+    assert found.count() == feed.join(matches.select("match_id"), "match_id", "left_semi").count() > 0

@@ -80,10 +80,16 @@ def linked_shots(t: EventTables) -> DataFrame:
     return shots_with_freeze_frame(t).where(F.col("key_pass_id").isNotNull())
 
 
+def _shot_keys(t: EventTables) -> DataFrame:
+    """Match and key pass of the shots, from which their frequent values are told."""
+    known = t.stored.get("counted_shots")
+    return (linked_shots(t) if known is None else known).select("match_id", "key_pass_id")
+
+
 def of_corners(shots_: DataFrame, t: EventTables) -> DataFrame:
     """The shots whose key pass is a corner."""
     ids = corner_table(t).select(F.col("id").alias("key_pass_id"))
-    return salted_join(shots_, ids, ["key_pass_id"], "left_semi", "id")
+    return salted_join(shots_, ids, ["key_pass_id"], "left_semi", "id", _shot_keys(t))
 
 
 def corner_assisted_shots(t: EventTables) -> DataFrame:
@@ -198,7 +204,7 @@ def shot_to_corner(shots_: DataFrame, t: EventTables, how: str = "left") -> Data
         "end_x",
         "end_y",
     )
-    return salted_join(shots_, corner, ["key_pass_id"], how, "id")
+    return salted_join(shots_, corner, ["key_pass_id"], how, "id", _shot_keys(t))
 
 
 @stored
@@ -212,7 +218,8 @@ def enriched_shots(t: EventTables) -> DataFrame:
         F.col("away_team_name").alias("equipo_visitante"),
         F.col("season_name").alias("temporada"),
     )
-    return salted_join(shot_to_corner(known, t, "inner"), match, ["match_id"], "left", "id").select(
+    linked = shot_to_corner(known, t, "inner")
+    return salted_join(linked, match, ["match_id"], "left", "id", _shot_keys(t)).select(
         "id",
         "match_id",
         "key_pass_id",

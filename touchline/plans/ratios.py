@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.corner import is_goal
 from touchline.functions.labels import two_decimals
 from touchline.functions.nulls import count_true, ratio
 from touchline.operators.relational import decorate_logo, for_season, ranked
-from touchline.operators.sequences import flag_followed
+from touchline.operators.sequences import flag_followed, next_target
 from touchline.plans.corners import ROWS, corner_table, corner_totals, sums_by_season
 from touchline.plans.stored import stored
 from touchline.sources.tables import EventTables
@@ -65,6 +65,22 @@ def goal_sequences(t: EventTables) -> DataFrame:
     return flagged_corners(t).where("gol_en_secuencia").drop("gol_en_secuencia")
 
 
+def time_slot(t: EventTables) -> Column:
+    """The minute of ``ts``, be it a clock within the period (text) or a timestamp."""
+    if t.events.schema["ts"].dataType.typeName() == "string":
+        return F.substring("ts", 1, 5)
+    return F.date_trunc("minute", F.col("ts"))
+
+
+def sequence_goals(t: EventTables) -> DataFrame:
+    """The corners of ``goal_sequences``, each with the first later goal of its possession: gol_id, gol_ts."""
+    corners = corner_table(t).select("id", "ts", *SEQUENCE_KEYS)
+    goals = t.events.where(is_goal()).select("id", "ts", *SEQUENCE_KEYS)
+    found = next_target(corners, goals, SEQUENCE_KEYS, "ts", time_slot(t), into="gol")
+    followed = found.where(F.col("gol.id").isNotNull())
+    return followed.select("id", "ts", *SEQUENCE_KEYS, F.col("gol.id").alias("gol_id"), F.col("gol.ts").alias("gol_ts"))
+
+
 def _sequence_sums() -> dict:
     return {
         "total_goles_secuencia": count_true(F.col("gol_en_secuencia")),

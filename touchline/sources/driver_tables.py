@@ -21,6 +21,7 @@ SCHEMAS = {
     "orders": "o_orderkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_returnflag string",
     "nation": "n_nationkey int, n_name string",
+    "supplier": "s_suppkey bigint",
 }
 
 
@@ -239,6 +240,19 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a rectangle of the pitch, some of them without a known bound."""
+    key = F.col("s_suppkey")
+    xmin, ymin = (60 + key * 7 % 53).cast("double"), (key * 11 % 71).cast("double")
+    return _read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("Z"), key.cast("string")).alias("zona_nombre"),
+        xmin.alias("xmin"),
+        F.when(key % 23 != 0, xmin + key % 9).alias("xmax"),
+        ymin.alias("ymin"),
+        (ymin + key % 5 / 2).alias("ymax"),
+    )
+
+
 def logos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for every team; some have no badge."""
     key = F.col("n_nationkey")

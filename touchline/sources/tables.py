@@ -50,19 +50,32 @@ def scan_events(
     path: str,
     columns: dict[str, str] = S.EVENT_COLUMNS,
     schema: T.StructType = S.EVENTS,
+    partitions: str | None = None,
 ) -> DataFrame:
-    """All Parquet files of a directory (sub-folders included) as one lazy table.
+    """All Parquet files of a directory (sub-folders included), or of a glob such as ``dir/*.parquet``, as one lazy table.
 
     The schema is explicit: a sparse column that a file lacks reads as NULL,
-    and no file is opened just to infer types.
+    and no file is opened just to infer types. ``partitions`` (a DDL string) names the
+    columns of ``name=value`` sub-folders; a filter or a join on them then opens only the folders it needs.
     """
-    raw = (
-        spark.read.schema(S.feed_schema(columns, schema))
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-        .parquet(path)
-    )
-    return rename_columns(raw, columns)
+    fields, reader = S.feed_schema(columns, schema), spark.read.option("pathGlobFilter", "*.parquet")
+    if partitions is None:
+        reader = reader.option("recursiveFileLookup", "true")
+    else:
+        fields = T.StructType([*fields.fields, *T.StructType.fromDDL(partitions).fields])
+    return rename_columns(reader.schema(fields).parquet(path), columns)
+
+
+def events_of_matches(events: DataFrame, matches: DataFrame) -> DataFrame:
+    """Events of the given matches, from a scan by season (``scan_events`` with partitions).
+
+    The seasons of the matches, no more than there are folders, are broadcast first and prune the scan's folders at
+    run time; the matches then pick their events. An unknown season is a folder of its own.
+    """
+    seasons = matches.select("season_name").where(F.col("season_name").isNotNull()).distinct()
+    known = events.join(F.broadcast(seasons), "season_name", "left_semi").select(*events.columns)
+    unknown = events.where(F.col("season_name").isNull())
+    return known.union(unknown).join(matches.select("match_id"), "match_id", "left_semi").select(*events.columns)
 
 
 def conform_matches(raw: DataFrame) -> DataFrame:
@@ -93,10 +106,16 @@ def catalog_entries(catalog: DataFrame, country: str, competition: str) -> DataF
     )
 
 
-def write_feed(events: DataFrame, path: str, columns: dict[str, str] = S.EVENT_COLUMNS) -> None:
-    """Write events under the column names of the feed, for ``scan_events``."""
+def write_feed(
+    events: DataFrame, path: str, columns: dict[str, str] = S.EVENT_COLUMNS, season_col: str | None = None
+) -> None:
+    """Write events under the column names of the feed, for ``scan_events``; with ``season_col`` in a folder per season."""
     source_of = {canonical: source for source, canonical in columns.items()}
-    write_table(rename_columns(events, source_of), path)
+    feed = rename_columns(events, source_of)
+    if season_col is None:
+        write_table(feed, path)
+    else:
+        feed.hint("rebalance", season_col).write.mode("overwrite").partitionBy(season_col).parquet(path)
 
 
 # --- sinks -------------------------------------------------------------------
@@ -113,5 +132,20 @@ def write_by_season(df: DataFrame, path: str, order: list[str], mode: str = "app
     )
 
 
+def write_by_match(df: DataFrame, path: str, id_col: str, mode: str = "append") -> None:
+    """Write one folder per season, each match in one file.
+
+    Matches are dealt to files by size: AQE merges small matches up to its advisory partition size, and splits
+    a match that is far larger over several files. Files are sorted by match, so row groups of others are skipped.
+    """
+    (
+        df.hint("rebalance", "season_name", "match_id")
+        .sortWithinPartitions("season_name", "match_id", id_col)
+        .write.mode(mode)
+        .partitionBy("season_name")
+        .parquet(path)
+    )
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
