@@ -4,12 +4,13 @@ Vectors are dealt into bands of similar length. Those of a band are lifted to un
 that the largest inner product is the largest cosine, turned by fast pseudo-random rotations (sign flips and
 Hadamard transforms), and assigned in each table to the nearest signed axis. A query probes the nearest axes of
 every table and band; each bucket's vectors are scored exactly against its queries, and the best of all
-buckets remain. Bands of few vectors are not indexed but scored whole, and a query that found too few
-meets all vectors. Equal vectors are one entry that carries its smallest ids, so a group of copies fills no bucket.
+buckets remain. Tables and probes are the same at every size. Vectors of a rare length (bands with less than a twentieth of
+all) have no table of their own and meet every query; a query that found fewer than it asks for meets all vectors. Equal vectors are one entry that carries its smallest ids, so a group of copies fills no bucket.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 from functools import partial
@@ -22,18 +23,22 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import lookup_join, written
 
+LOG = logging.getLogger(__name__)
+
 TABLES = 16
-PROBES = 8
+PROBES = 16
 #: Lengths of one band differ by this factor at most.
 BAND = 1.25
-#: Bands of at most so many vectors are scored whole; the probes of the others do not depend on their size.
-WHOLE = 16_384
-#: The bucket of all vectors that are scored whole.
+#: Bands with a smaller share of the entries are scored whole, in blocks: so there are at most 20 bands of tables.
+RARE = 0.05
+#: The bucket of what every query meets, and of all vectors for the queries that found too few.
 WHOLE_BUCKET = -1
 #: Vectors and queries of a bucket that meet in one task; a larger bucket is dealt into blocks.
 BLOCK = 20_000
 QUERY_BLOCK = 4_000
 SEED = 5
+#: Error of a score by matrix product, as a share of the product of the lengths, at most.
+ROUNDING = 1e-12
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -98,12 +103,11 @@ def _unpacked(column: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind).reshape(len(column), -1).astype(np.float64)
 
 
-def _indexed(
-    batches, kind: str, signs: np.ndarray, bands: dict[int, tuple[int, float]], whole: bool, probes: int | None
-) -> Iterator[pa.RecordBatch]:
+def _indexed(batches, kind: str, signs: np.ndarray, bands: dict[int, tuple[int, float]], whole: bool, probes: int | None) -> Iterator[pa.RecordBatch]:
     """Adds the buckets: per table the nearest axis in the entry's own band, or (``probes``) the nearest ones in every band.
 
-    ``bands`` has the number and the longest vector of each indexed band; entries of others are in WHOLE_BUCKET.
+    ``bands`` has the number and the longest vector of each band with tables; entries of others are in WHOLE_BUCKET,
+    which the queries probe as well if it is in use (``whole``).
     """
     tables, axes = len(signs), 2 * signs.shape[2]
     for batch in batches:
@@ -112,15 +116,13 @@ def _indexed(
             vectors, own = _unpacked(part.column("packed").to_pylist(), kind), None
             if probes is None:
                 own = [bands.get(b) for b in part.column("band").to_pylist()]
-                lifted = _lift(vectors, np.array([b[1] if b else np.inf for b in own]))
-            else:
-                lifted = _lift(vectors, None)
+            lifted = _lift(vectors, None if own is None else np.array([b[1] if b else np.inf for b in own]))
             found = []
-            for table, flips in enumerate(signs if bands else ()):
+            for table, flips in enumerate(signs):
                 near = signed_axes(lifted, flips)
                 best = np.argpartition(-near, (probes or 1) - 1, axis=1)[:, : probes or 1]
                 found.append(best + table * axes)
-            near = np.concatenate(found, axis=1).astype(np.int64) if found else np.empty((len(vectors), 0), np.int64)
+            near = np.concatenate(found, axis=1).astype(np.int64)
             if own is None:
                 offsets = np.array([number for number, _ in bands.values()], np.int64) * (tables * axes)
                 near = (near[:, None, :] + offsets[None, :, None]).reshape(len(vectors), -1)
@@ -142,24 +144,40 @@ def _best(ids: np.ndarray, scores: np.ndarray, keep: int) -> tuple[np.ndarray, n
 
 
 def _score_bucket(queries: pd.DataFrame, entries: pd.DataFrame, kind: str, keep: int) -> pd.DataFrame:
-    """For each query of a bucket its best entries, as packed ids and scores."""
+    """For each query of a bucket its best ids there, packed, with their scores.
+
+    The matrix product only tells which entries may be among the best: all from the ``keep``-th score on, less its
+    rounding. Those are scored again one by one, and ranked by that score with ties to the smaller id.
+    """
     out = {"entry": [], "ids": [], "scores": []}
     if len(queries) and len(entries):
-        vectors = _unpacked(entries["packed"].tolist(), kind)
-        members = [np.asarray(m, np.int64) for m in entries["members"]]
-        asked = _unpacked(queries["packed"].tolist(), kind)
+        vectors, asked = _unpacked(entries["packed"].tolist(), kind), _unpacked(queries["packed"].tolist(), kind)
+        held = np.array([len(m) for m in entries["members"]])
+        first, ids = np.cumsum(held) - held, np.concatenate(entries["members"].tolist()).astype(np.int64)
+        longest = np.linalg.norm(vectors, axis=1).max()
+        names = queries["entry"].to_numpy()
         for at in range(0, len(asked), 256):
             part = asked[at : at + 256]
             near = part @ vectors.T
             top = min(keep, near.shape[1])
-            picked = np.argpartition(-near, top - 1, axis=1)[:, :top]
-            exact = (part[:, None, :] * vectors[picked]).sum(-1)
-            for q, (chosen, score) in enumerate(zip(picked, exact, strict=True)):
-                own = [members[c] for c in chosen]
-                ids, scores = _best(np.concatenate(own), np.repeat(score, [len(m) for m in own]), keep)
-                out["entry"].append(queries["entry"].iat[at + q])
-                out["ids"].append(ids.astype("<i8").tobytes())
-                out["scores"].append(scores.astype("<f8").tobytes())
+            least = np.partition(near, near.shape[1] - top, axis=1)[:, near.shape[1] - top]
+            least -= ROUNDING * longest * np.linalg.norm(part, axis=1) * part.shape[1]
+            query, entry = np.nonzero(near >= least[:, None])
+            scores = np.concatenate(
+                [(part[query[i : i + 4096]] * vectors[entry[i : i + 4096]]).sum(-1) for i in range(0, len(query), 4096)]
+            )
+            # Every entry stands for its ids.
+            times = held[entry]
+            own = ids[np.repeat(first[entry], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+            query, scores = np.repeat(query, times), np.repeat(scores, times)
+            order = np.lexsort((own, -scores, query))
+            query, own, scores = query[order], own[order], scores[order]
+            begins = np.searchsorted(query, np.arange(len(part) + 1))
+            for q, (lo, hi) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)):
+                hi = min(hi, lo + keep)
+                out["entry"].append(names[at + q])
+                out["ids"].append(own[lo:hi].astype("<i8").tobytes())
+                out["scores"].append(scores[lo:hi].astype("<f8").tobytes())
     return pd.DataFrame(out)
 
 
@@ -199,16 +217,19 @@ def nearest(
 
     Queries are the rows that pass ``query_filter`` (an expression over id); candidates are all rows but those
     with the query's own id. Rows with a null id or a vector that is null, empty, zero or holds a null or a non-finite number take
-    no part; rows that repeat an id and its vector count once. All vectors have one length. With fewer
-    candidates than ``k`` all come; an empty table gives no rows. Every vector is indexed or scored whole.
+    no part; rows that repeat an id and its vector count once. Vectors have as many components as most of the rows
+    have (of two such numbers the larger); the others take no part. With fewer candidates than ``k`` all come; an empty
+    table gives no rows. Every vector is indexed.
     """
     spark = vectors.sparkSession
     kind = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
     slim = vectors.select(F.col(id_col).cast("long"), F.col(vector_col))
     rows = written(slim.mapInArrow(partial(_valid, kind=kind), "id long, packed binary, length double, band int").distinct(), "vectors")
-    size = rows.agg(F.max(F.length("packed"))).first()[0]
-    if not size:
+    common = rows.groupBy(F.length("packed").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    if common is None:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+    size = common["size"]
+    rows = rows.where(F.length("packed") == size)
     keep = k + 1  # one of them may be the query itself
     by_id = Window.partitionBy("packed").orderBy("id")
     entry = F.min("id").over(by_id.rowsBetween(Window.unboundedPreceding, 0)).alias("entry")
@@ -219,9 +240,9 @@ def nearest(
     signs = rotations(dims, tables)
     probes = min(2 * _width(dims), probes)
     # A few hundred bands at most, whatever the data (some thousands for doubles).
-    sizes = entries.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).collect()
-    large = sorted((r["band"], r["longest"]) for r in sizes if r["n"] > WHOLE)
-    bands = {band: (number, longest) for number, (band, longest) in enumerate(large)}
+    sizes = entries.groupBy("band").agg(F.count("*").alias("n"), F.max("length").alias("longest")).orderBy("band").collect()
+    large = [r for r in sizes if r["n"] >= RARE * sum(x["n"] for x in sizes)]
+    bands = {r["band"]: (number, r["longest"]) for number, r in enumerate(large)}
     fields = "entry long, packed binary"
     layout = {"kind": kind, "signs": signs, "bands": bands, "whole": len(bands) < len(sizes)}
     index = partial(_indexed, **layout, probes=None)
@@ -262,15 +283,15 @@ def nearest(
             .applyInPandas(merge, "entry long, near array<struct<id:long,score:double>>, one long")
         )
 
-    merged = best_of(probing, indexed)
-    if bands:
-        merged = written(merged, "found")
-        enough = merged.where(F.size("near") >= keep)
-        short = written(probing.join(enough.select("entry"), "entry", "left_anti"), "short")
-        if not short.isEmpty():
-            everything = F.array(F.lit(WHOLE_BUCKET).cast("long")).alias("buckets")
-            whole = best_of(short.select("entry", "packed", everything), indexed.select("entry", "packed", "members", everything))
-            merged = enough.union(whole)
+    merged = written(best_of(probing, indexed), "found")
+    enough = merged.where(F.size("near") >= keep)
+    short = written(probing.join(enough.select("entry"), "entry", "left_anti"), "short")
+    few = short.count()
+    if few:
+        LOG.info("%d of %d queries found fewer than %d and meet all vectors", few, merged.count(), keep)
+        everything = F.array(F.lit(WHOLE_BUCKET).cast("long")).alias("buckets")
+        whole = best_of(short.select("entry", "packed", everything), indexed.select("entry", "packed", "members", everything))
+        merged = enough.union(whole)
     weights = asked.groupBy("entry").agg(F.count("*").alias("asked"))
     merged = merged.drop("one").join(weights, "entry")
     answers = lookup_join(asked.select("id", "entry"), merged, "entry", "asked")
