@@ -283,7 +283,8 @@ def repeated_spans(
     spans are the maximal removed runs in bytes, kept the remaining bytes. ``texts`` is read several times and
     must give a row the same text each time, as a table of files does.
     """
-    cover = map_texts(texts, partial(_cover, width=width, gram=gram), "row long, grams array<long>, positions array<int>")
+    # Read twice below: written, so that the texts are hashed once.
+    cover = written(map_texts(texts, partial(_cover, width=width, gram=gram), "row long, grams array<long>, positions array<int>"), "cover")
     grams = cover.select("row", F.explode(F.arrays_zip("grams", "positions")).alias("s"))
     grams = grams.select("row", F.col("s.grams").alias("gram"), F.col("s.positions").alias("position"))
     repeated = written(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "repeated-grams")
