@@ -113,3 +113,19 @@ def test_full_windows_meet_no_packing_task(make_docs, monkeypatch):
     assert not {r.sequence_id for r in full} & {r.sequence_id for r in packed if r.length < 1024}
     assert len({r.sequence_id for r in full}) == len(full)
 
+
+
+def test_blank_runs_just_below_the_long_ones_are_scanned_once():
+    """Two runs one blank short of LONG_RUN and one that has it: the ids of the library, in seconds."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    from touchline.llm import tokens
+
+    text = "a" + " " * (tokens.LONG_RUN - 1) + "b" + " " * (tokens.LONG_RUN - 1) + "c" + " " * tokens.LONG_RUN + "d"
+    began = time.perf_counter()
+    assert [m.span() for m in tokens._LONG_BLANKS.finditer(text)] == [(2 * tokens.LONG_RUN + 1, 3 * tokens.LONG_RUN + 1)]
+    assert time.perf_counter() - began < 2
+    found = tokens.token_ids(text, tokens.rank_file()).tolist()
+    assert found == Tokenizer.from_file(tokens.json_file()).encode(text, add_special_tokens=False).ids

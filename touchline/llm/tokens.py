@@ -26,7 +26,8 @@ _PLAIN = regex.compile(r"[\x00-՗‐-⁞₠-₿ぁ-ゖァ-ヺ一-鿌]*")
 #: Blanks in a row that are not given to the rank file's library, which takes several times as many.
 LONG_RUN = 100_000
 _BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_LONG_BLANKS = regex.compile(f"{_BLANK}{{{LONG_RUN},}}+")
+#: Tried at the beginning of a run only: a run that is too short is not scanned again from each of its blanks.
+_LONG_BLANKS = regex.compile(f"(?<!{_BLANK}){_BLANK}{{{LONG_RUN},}}+")
 
 
 def rank_file() -> str:
