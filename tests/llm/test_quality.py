@@ -56,6 +56,16 @@ def test_few_labels(spark, odd_docs, no_docs):
             assert quality.quality_scores(docs, machine).count() == docs.count()
 
 
+def test_repeated_ids_train_once(spark, make_docs):
+    """However many documents carry a labelled id, one of them is trained on, the same in any order."""
+    texts = [f"word{i} and more words of text {i % 7}" for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = make_docs([(i, t) for i, t in enumerate(texts)])
+    copies = make_docs([(i, t) for i, t in enumerate(texts) for _ in range(30)][::-1])
+    one, two = quality.train(once, labels, rows=20), quality.train(copies, labels, rows=20)
+    assert one.bias == two.bias and np.array_equal(one.weights, two.weights) and np.array_equal(one.factors, two.factors)
+
+
 def test_rejected_rows_go(trained, odd_docs):
     docs, labels, _ = trained
     kept = quality.drop_rejected(odd_docs, labels)

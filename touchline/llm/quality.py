@@ -145,14 +145,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate:
     return Machine(bias, w.astype(np.float32), v.astype(np.float32))
 
 
-_SAMPLE = pa.schema([("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32())), ("label", pa.int32())])
+_SAMPLE = [("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float32())), ("label", pa.int32())]
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         found = [features(t, n) for t, n in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
-        columns = [pa.array([f[i] for f in found], _SAMPLE.field(i).type) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*columns, part.column(3)], schema=_SAMPLE)
+        columns = [pa.array([f[i] for f in found], _SAMPLE[i][1]) for i in (0, 1)]
+        schema = pa.schema([part.schema.field(0), *_SAMPLE])
+        yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(3)], schema=schema)
 
 
 def _inputs(docs: DataFrame, text_col: str) -> tuple:
@@ -170,7 +171,8 @@ def train(
 ) -> Machine:
     """A machine fitted on at most ``rows`` labelled documents that are not held out.
 
-    Labels other than 0 and 1 are left aside; an id labelled more than once takes its smallest label.
+    Labels other than 0 and 1 are left aside; an id labelled more than once takes its smallest label, and of
+    documents that repeat an id the one of the smallest features counts.
     With no labels, or labels of one kind, the score is the same for every document.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col))
@@ -178,14 +180,16 @@ def train(
     sample = smallest_hashes(marked, rows, "id")
     texts = docs.select(F.col(id_col).alias("id"), *_inputs(docs, text_col)).join(F.broadcast(sample), "id")
     inputs = texts.select("id", "text", "n_chars", "label")
-    found = map_texts(inputs, _sample_features, "at array<int>, x array<float>, label int")
-    table = found.toArrow()
+    kind = inputs.schema["id"].dataType.simpleString()
+    found = map_texts(inputs, _sample_features, f"id {kind}, at array<int>, x array<float>, label int")
+    # One row per labelled id, whatever the number of documents that repeat it: the sample's bound holds here too.
+    table = found.groupBy("id").agg(F.min(F.struct("at", "x", "label")).alias("s")).select("s.*").toArrow()
     data = [
         (at.values.to_numpy(zero_copy_only=False), x.values.to_numpy(zero_copy_only=False), label.as_py())
         for at, x, label in zip(table["at"], table["x"], table["label"], strict=True)
     ]
     data.sort(key=lambda r: (len(r[0]), r[0].tobytes(), r[1].tobytes(), r[2]))  # the order of tasks must not matter
-    return fit(data[: 2 * rows])
+    return fit(data)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], machine: Machine) -> Iterator[pa.RecordBatch]:
@@ -225,7 +229,11 @@ def quality_scores(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least THRESHOLD."""
+    """The rows of ``docs``, all columns, that score at least THRESHOLD.
+
+    Null and empty texts are scored by their statistics, null ids are kept out of training, rows that repeat are
+    scored each, and an empty table gives no rows.
+    """
     score, machine = "quality_score", train(docs, labels, id_col=id_col, text_col=text_col)
     while score in docs.columns:
         score += "_"
