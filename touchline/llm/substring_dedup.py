@@ -190,8 +190,24 @@ def _names(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
 def repeated_starts(leads: np.ndarray, contexts: list[bytes], counts: np.ndarray, width: int, gram: int) -> np.ndarray:
     """Boolean (context, d): the string that starts ``d`` bytes before the sample occurs elsewhere.
 
-    Contexts are distinct; one that stands for several places repeats every string it holds.
+    Contexts are distinct; one that stands for several places repeats every string it holds. Equal strings hold the
+    same gram, so only contexts that share their gram's bytes with another one are sorted.
     """
+    reach = width - gram
+    found = np.zeros((len(contexts), reach + 1), bool)
+    kinds = pd.factorize(np.array([c[a : a + gram] for a, c in zip(leads.tolist(), contexts, strict=True)], object))[0]
+    shared = np.bincount(kinds)[kinds] > 1
+    rights = np.array([len(c) for c in contexts]) - leads
+    back = np.arange(reach + 1)
+    lone = ~shared & (counts > 1)
+    found[lone] = (leads[lone, None] >= back) & (rights[lone, None] >= width - back)
+    if shared.any():
+        some = [contexts[i] for i in np.flatnonzero(shared)]
+        found[shared] = _repeated_by_sorting(leads[shared], some, counts[shared], width, gram)
+    return found
+
+
+def _repeated_by_sorting(leads: np.ndarray, contexts: list[bytes], counts: np.ndarray, width: int, gram: int) -> np.ndarray:
     reach = width - gram
     right = _ranked([c[a:] for a, c in zip(leads.tolist(), contexts, strict=True)], width)
     left = _ranked([c[:a][::-1] for a, c in zip(leads.tolist(), contexts, strict=True)], reach)
