@@ -45,7 +45,7 @@ def test_components_take_few_jobs(spark):
     assert jobs <= 48
 
 
-def test_a_node_settled_in_many_stars_is_joined(spark, monkeypatch):
+def test_stars_are_cut_by_their_number_of_nodes(spark, monkeypatch):
     monkeypatch.setattr(graph, "FOREST", 3)
     batch = pa.RecordBatch.from_arrays([pa.array([2, 3, 5, 9], pa.int64()), pa.array([1, 2, 4, 5], pa.int64())], names=["u", "v"])
     stars = [s.to_pydict() for s in graph._forests(iter([batch, batch.slice(0, 1), batch.slice(0, 0)]))]
